@@ -35,7 +35,7 @@ CHUNKS, PER_CHUNK = 6, 5
 LANES = CHUNKS * PER_CHUNK
 #: Values in which two signatures may differ: one error a chunk at most in one chunk at least.
 DISTANCE = 2 * CHUNKS - 1
-SMALL, BLOCK = 48, 256
+SMALL, BLOCK = 48, 512
 
 _rng = np.random.default_rng(20240501)
 _MUL = _rng.integers(1, 1 << 63, LANES, dtype=np.uint64) | np.uint64(1)
