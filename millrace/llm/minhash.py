@@ -180,7 +180,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     keyed = reps.select("id", *_S, F.explode(index_keys()).alias("key"))
     often = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialize(keyed.join(often, "key").select("key", "n", "id", *_S), "minhash-buckets")
+    members = materialize(keyed.join(often.hint("merge"), "key").select("key", "n", "id", *_S), "minhash-buckets")
 
     # Buckets of bounded size: their pairs, within the signature distance, once each.
     few = members.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("id", *_S)).alias("m"))
@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     tiles = materialize(tiles.select("id", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("tile")), "minhash-tiles")
 
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).unionByName(tiles.select(F.col("id").alias("doc_id"))).distinct()
-    some = texts.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    some = texts.join(wanted.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     some = materialize(some, "minhash-texts")
     links = pairs.join(some.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), "u").join(some.select(F.col("doc_id").alias("v"), F.col("text").alias("tv")), "v")
     links = links.select("u", "v", "tu", "tv").mapInArrow(_confirm(k, percent), "u long, v long")
