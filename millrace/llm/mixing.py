@@ -36,7 +36,7 @@ def fit_counts(counts: dict[int, int], budget: int) -> dict[int, int]:
     if not total or budget <= 0:
         return {}
     budget = min(budget, total)
-    take = {s: counts[s] * budget // total for s in sizes}
+    take = {s: counts[s] * budget // total if budget > FINE else 0 for s in sizes}
     left = budget - sum(s * n for s, n in take.items())
     for s in sizes:
         more = min(counts[s] - take[s], max(0, left - FINE) // s)
@@ -70,8 +70,9 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     by_ratio = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
     before = F.coalesce(F.sum("cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     rows = rows.withColumn("level", (F.col("all") - before) / F.sum("w").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)))
-    rows = rows.withColumn("water", F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))).over(every))
-    return rows.select("key", F.col("tokens").alias("source_size"), F.least("cap", F.coalesce(F.col("water") * F.col("w"), F.col("cap"))).alias("target"))
+    # The level rises with each source that is capped and falls after the first that isn't: its top is the water's.
+    rows = rows.withColumn("water", F.max("level").over(every))
+    return rows.select("key", F.col("tokens").alias("source_size"), F.least("cap", F.col("water") * F.col("w")).alias("target"))
 
 
 def _plan(pdf):
