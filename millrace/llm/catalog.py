@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, pieces, quality
+from . import lines, minhash, mixing, pieces, quality
 
 QUERIES = {
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
     "op8_sentencepiece_coding": pieces.op8_sentencepiece_coding,
+    "op9_line_dedup": lines.op9_line_dedup,
     "op10_mixing_to_targets": mixing.op10_mixing_to_targets,
 }
 

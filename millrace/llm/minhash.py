@@ -1,11 +1,11 @@
 """MinHash near-duplicates by a multi-index Hamming join.
 
-Every text's distinct word shingles give 30 b-bit MinHash values (16 bits
-each). The signature is split into 6 chunks of 5 values; by pigeonhole, two
-signatures that differ in at most 11 values differ in at most one value of
-some chunk, so indexing each chunk with each one of its values left out (30
+Every text's distinct word shingles give 40 b-bit MinHash values (16 bits
+each). The signature is split into 8 chunks of 5 values; by pigeonhole, two
+signatures that differ in at most 15 values differ in at most one value of
+some chunk, so indexing each chunk with each one of its values left out (40
 keys a text) meets *every* such pair. At Jaccard 0.85 a pair stays beyond that
-distance with probability 2e-5. Pairs that meet and are within the distance
+distance with probability 6e-7, at 0.8 with 2e-5. Pairs that meet and are within the distance
 are confirmed on their full shingle sets.
 
 Texts with equal shingle sets are one node. Buckets of up to ``SMALL`` texts
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import words as W
 from .common import connected_components, materialize, spread, table
 
-CHUNKS, PER_CHUNK = 6, 5
+CHUNKS, PER_CHUNK = 8, 5
 LANES = CHUNKS * PER_CHUNK
 #: Values in which two signatures may differ: one error a chunk at most in one chunk at least.
 DISTANCE = 2 * CHUNKS - 1
