@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import lines, minhash, mixing, pieces, quality
+from . import lines, minhash, mixing, pages, pieces, pii, quality, vectors
 
 QUERIES = {
+    "op3_html_main_text": pages.op3_html_main_text,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
+    "op6_projection_forest": vectors.op6_projection_forest,
+    "op7_pii_spans": pii.op7_pii_spans,
     "op8_sentencepiece_coding": pieces.op8_sentencepiece_coding,
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_mixing_to_targets": mixing.op10_mixing_to_targets,
