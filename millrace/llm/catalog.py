@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import lines, minhash, mixing, pages, pieces, pii, quality, vectors
+from . import chains, lines, minhash, mixing, pages, pieces, pii, quality, suffixes, vectors
 
 QUERIES = {
+    "op1_collinear_chains": chains.op1_collinear_chains,
+    "op2_sparse_suffixes": suffixes.op2_sparse_suffixes,
     "op3_html_main_text": pages.op3_html_main_text,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
