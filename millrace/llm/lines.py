@@ -56,42 +56,48 @@ def probe_keys() -> list:
     return out
 
 
+def _let(value, body):
+    """body(value) with value computed once: a one-element array is mapped."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def banded_distance(a: str, b: str, k: int = EDITS):
-    """Edit distance of two strings of lengths that differ by k at most, right if it is k or less (else more than k)."""
-    p, t, full = F.split(a, ""), F.split(b, ""), (1 << (2 * k + 1)) - 1
-    m, n = f"char_length({a})", f"char_length({b})"
+    """Edit distance of two strings of lengths that differ by k at most, right if it is k or less (else more than k).
 
-    def step(state, j):
-        pattern, char = state["p"], F.get(state["t"], j - 1)
-        match = F.lit(0)
-        for bit in range(2 * k + 1):
-            match = match.bitwiseOR(F.when(F.get(pattern, j - k + bit - 1) == char, F.lit(1 << bit)).otherwise(F.lit(0)))
-        vp, vn = state["vp"], state["vn"]
-        return F.struct(state["p"].alias("p"), state["t"].alias("t"), vp.alias("vp"), vn.alias("vn"), state["d"].alias("d"), match.alias("x"), j.alias("j"))
-
-    def apply(s):
-        d0 = ((s["x"].bitwiseAND(s["vp"]) + s["vp"]).bitwiseXOR(s["vp"])).bitwiseOR(s["x"]).bitwiseOR(s["vn"]).bitwiseAND(F.lit(full))
-        return F.struct(s["p"].alias("p"), s["t"].alias("t"), s["vp"].alias("vp"), s["vn"].alias("vn"), s["d"].alias("d"), d0.alias("d0"), s["j"].alias("j"))
-
-    def settle(s):
-        hp = s["vn"].bitwiseOR(F.lit(full).bitwiseAND(F.bitwise_not(s["d0"].bitwiseOR(s["vp"]))))
-        hn = s["d0"].bitwiseAND(s["vp"])
-        down = F.shiftright(s["d0"], 1)
-        vp = hn.bitwiseOR(F.lit(full).bitwiseAND(F.bitwise_not(down.bitwiseOR(hp))))
-        rows = F.size(s["p"])
-        last = F.call_function("shiftleft", F.lit(1), F.greatest(F.lit(0), rows - s["j"] + F.lit(k)))
-        along = F.when(hp.bitwiseAND(last) != 0, 1).when(hn.bitwiseAND(last) != 0, -1).otherwise(0)
-        more = F.when(s["j"] <= rows - F.lit(k), F.when(s["d0"].bitwiseAND(F.lit(1 << (2 * k))) != 0, 0).otherwise(1)).otherwise(along)
-        return F.struct(s["p"].alias("p"), s["t"].alias("t"), vp.alias("vp"), down.bitwiseAND(hp).alias("vn"), (s["d"] + more).alias("d"))
+    Bit i of vp and vn says whether the distance rises or falls from row j - k + i - 1
+    to the next in column j; match has the same rows' equal characters.
+    """
+    full = (1 << (2 * k + 1)) - 1
 
-    start = F.struct(p.alias("p"), t.alias("t"), F.lit(full ^ ((1 << k) - 1)).alias("vp"), F.lit(0).alias("vn"), F.lit(k).alias("d"))
+    def column(chars, j):
+        hit = F.lit(0)
+        for bit in range(2 * k + 1):
+            hit = hit + F.when(F.get(chars["p"], j - k + bit - 1) == F.get(chars["t"], j - 1), F.lit(1 << bit)).otherwise(F.lit(0))
+        return hit
 
-    def chained(state, j):
-        first = F.array(step(state, j))
-        second = F.transform(first, apply)
-        return F.get(F.transform(second, settle), 0)
+    def diagonal(state, match):
+        vp = state["vp"]
+        return ((match.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(match).bitwiseOR(state["vn"]).bitwiseAND(F.lit(full))
 
-    return F.when(F.abs(F.expr(m) - F.expr(n)) > k, F.lit(k + 1)).otherwise(F.aggregate(F.sequence(F.lit(1), F.expr(n)), start, chained, lambda s: s["d"]))
+    def settle(state, d0, j, rows):
+        hp = state["vn"].bitwiseOR(F.lit(full).bitwiseAND(F.bitwise_not(d0.bitwiseOR(state["vp"]))))
+        hn = d0.bitwiseAND(state["vp"])
+        down = F.shiftright(d0, 1)
+        vp = hn.bitwiseOR(F.lit(full).bitwiseAND(F.bitwise_not(down.bitwiseOR(hp))))
+        last = F.call_function("shiftleft", F.lit(1), F.greatest(F.lit(0), rows - j + F.lit(k)))
+        along = F.when(hp.bitwiseAND(last) != 0, 1).when(hn.bitwiseAND(last) != 0, -1).otherwise(0)
+        more = F.when(j <= rows - F.lit(k), F.when(d0.bitwiseAND(F.lit(1 << (2 * k))) != 0, 0).otherwise(1)).otherwise(along)
+        return F.struct(vp.alias("vp"), down.bitwiseAND(hp).alias("vn"), (state["d"] + more).alias("d"))
+
+    def distance(chars):
+        start = F.struct(F.lit(full ^ ((1 << k) - 1)).alias("vp"), F.lit(0).alias("vn"), F.lit(k).alias("d"))
+        step = lambda state, j: _let(column(chars, j), lambda match: _let(diagonal(state, match), lambda d0: settle(state, d0, j, F.size(chars["p"]))))
+        # The last columns lower the distance by 2 * k at most, so beyond 3 * k + 1 the pair is lost and steps are skipped.
+        guarded = lambda state, j: F.when(state["d"] > 3 * k + 1, state).otherwise(step(state, j))
+        return F.aggregate(F.sequence(F.lit(1), F.size(chars["t"])), start, guarded, lambda s: s["d"])
+
+    far = F.abs(F.char_length(a) - F.char_length(b)) > k
+    return F.when(far, F.lit(k + 1)).otherwise(_let(F.struct(F.split(a, "").alias("p"), F.split(b, "").alias("t")), distance))
 
 
 def line_duplicates(docs: DataFrame) -> DataFrame:
