@@ -112,7 +112,7 @@ def skew_label(ratio: Column) -> Column:
 def age_days(now: Column, ts: Column, missing: float = 30.0) -> Column:
     """Days between two timestamps, 0 at least; a timestamp that can't be read gives missing."""
     seconds = F.unix_micros(now.cast("timestamp")) - F.unix_micros(ts.cast("timestamp"))
-    return F.coalesce(F.greatest(F.lit(0.0), seconds / F.lit(8.64e10)), F.lit(missing))
+    return F.when(seconds.isNull(), F.lit(missing)).otherwise(F.greatest(F.lit(0.0), seconds / F.lit(8.64e10)))
 
 
 # Text.
