@@ -5,7 +5,8 @@ By pigeonhole, of two lines within ``EDITS`` edits one has a segment that the
 other holds unchanged, at a place that its length and the segment's number
 bound. The segments are the index; each line probes it with the few substrings
 that the multi-match-aware rule allows for its own and each smaller length.
-Lines that meet are verified by a banded bit-parallel edit distance: the
+Lines that meet, and whose
+letter counts could belong to lines so near, are verified by a banded bit-parallel edit distance: the
 vertical differences of 2 * ``EDITS`` + 1 diagonals are the bits of two
 integers that one pass over the characters updates.
 
@@ -24,9 +25,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, table
+from .common import connected_components, discard, materialize, table
 
 EDITS, SHORTEST = 2, 24
+#: Letters whose counts make a line's sketch, six bits each; one edit changes two counts by one at most.
+LETTERS = "etaonihrsd"
 
 
 def _begin(length, i: int):
@@ -56,6 +59,24 @@ def probe_keys() -> list:
     return out
 
 
+def sketch():
+    """Counts of LETTERS in line, 63 at most, packed into one number."""
+    total = F.lit(0).cast("long")
+    for i, c in enumerate(LETTERS):
+        n = F.least(F.length("line") - F.length(F.replace("line", F.lit(c), F.lit(""))), F.lit(63)).cast("long")
+        total = total.bitwiseOR(F.shiftleft(n, 6 * i))
+    return total
+
+
+def _sketches_apart(a, b):
+    """A lower bound of twice the edit distance of two lines, from their sketches."""
+    total = F.lit(0)
+    for i in range(len(LETTERS)):
+        part = [F.shiftright(x, 6 * i).bitwiseAND(F.lit(63)) for x in (a, b)]
+        total = total + F.abs(part[0] - part[1])
+    return total
+
+
 def _let(value, body):
     """body(value) with value computed once: a one-element array is mapped."""
     return F.get(F.transform(F.array(value), body), 0)
@@ -106,15 +127,18 @@ def line_duplicates(docs: DataFrame) -> DataFrame:
     lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.length("line") >= SHORTEST).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     index, probes = index_keys(), probe_keys()
     names = [f"i{x}" for x in range(len(index))] + [f"p{x}" for x in range(len(probes))]
-    hashed = lines.select("doc_id", "line_no", F.xxhash64("line").alias("h"), F.hash("line").alias("h2"), *(c.alias(n) for c, n in zip(index + probes, names, strict=True)))
-    # The same line of the same row once, wherever rows repeat.
-    same = hashed.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"), *(F.first(n).alias(n) for n in names))
-    nodes = materialize(same, "lines")
-
-    left = nodes.select("h", F.explode(F.array(*names[: len(index)])).alias("key"))
-    right = nodes.select(F.col("h").alias("other"), F.explode(F.array(*names[len(index) :])).alias("key"))
-    pairs = left.join(right.hint("merge"), "key").where("h <> other").select(F.least("h", "other").alias("u"), F.greatest("h", "other").alias("v")).distinct()
+    hashed = lines.select("doc_id", "line_no", F.xxhash64("line").alias("h"), F.hash("line").alias("h2"), sketch().alias("s"), *(c.alias(n) for c, n in zip(index + probes, names, strict=True)))
+    # Equal lines are one row; doc_id and line_no of the first tell where it is.
+    same = hashed.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("s").alias("s"), *(F.first(n).alias(n) for n in names))
+    keyed = materialize(same, "line-keys")
+    nodes = materialize(keyed.select("h", "h2", "first", "n"), "lines")
+
+    left = keyed.select("h", "s", F.explode(F.array(*names[: len(index)])).alias("key"))
+    right = keyed.select(F.col("h").alias("other"), F.col("s").alias("t"), F.explode(F.array(*names[len(index) :])).alias("key")).hint("merge")
+    near = (left["key"] == right["key"]) & (left["h"] != right["other"]) & (_sketches_apart(F.col("s"), F.col("t")) <= 2 * EDITS)
+    pairs = left.join(right, near).select(F.least("h", "other").alias("u"), F.greatest("h", "other").alias("v")).distinct()
     pairs = materialize(pairs, "line-pairs")
+    discard(keyed)
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("h")).distinct()
     places = nodes.select("h", "first.doc_id", "first.line_no").join(wanted.hint("merge"), "h", "left_semi")
     found = texts.join(places.hint("merge"), "doc_id").select("h", F.get(F.split("text", "\n"), F.col("line_no")).alias("line")).groupBy("h").agg(F.min("line").alias("line"))
@@ -125,7 +149,7 @@ def line_duplicates(docs: DataFrame) -> DataFrame:
 
     known = nodes.select("h", "h2", "first", "n").join(groups, nodes.h == groups.node, "left").select("h", "h2", "first", "n", F.coalesce("component", "h").alias("c"))
     heads = known.groupBy("c").agg(F.min("first").alias("head"), F.sum("n").alias("all")).where(F.col("all") > 1)
-    repeated = known.join(heads, "c").select("h", "h2", "head")
+    repeated = known.join(heads.hint("merge"), "c").select("h", "h2", "head").hint("merge")
     again = lines.select("doc_id", "line_no", F.xxhash64("line").alias("h"), F.hash("line").alias("h2")).join(repeated, ["h", "h2"])
     return again.where(~((F.col("doc_id") == F.col("head.doc_id")) & (F.col("line_no") == F.col("head.line_no")))).select("doc_id", "line_no").distinct()
 
@@ -134,7 +158,7 @@ def without_duplicate_lines(docs: DataFrame) -> DataFrame:
     """docs with the duplicate lines taken out of text, and n_lines, n_dropped (long)."""
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     gone = materialize(line_duplicates(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")), "lines-gone")
-    rows = docs.select(*own).join(gone.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left")
+    rows = docs.select(*own).join(gone.withColumnRenamed("doc_id", "_id").hint("merge"), F.col("doc_id") == F.col("_id"), "left")
     split = F.split("text", "\n")
     kept = F.filter(split, lambda x, i: ~F.array_contains("_gone", i))
     rows = rows.withColumn("n_lines", F.coalesce(F.size(F.when(F.col("text").isNotNull(), split)), F.lit(0)).cast("long"))
