@@ -17,4 +17,7 @@ QUERIES = {
     "op10_mixing_to_targets": mixing.op10_mixing_to_targets,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_minhash_near_dedup": minhash.OP5_SQL,
+    "op6_projection_forest": vectors.OP6_SQL,
+}

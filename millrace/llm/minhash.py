@@ -210,3 +210,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+OP5_SQL = r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+  s as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')) end) as s from w),
+  e as (select doc_id, len(s) as n, unnest(s) as g from s),
+  p as (select a.doc_id as u, b.doc_id as v, a.n as nu, b.n as nv, count(*) as m from e a join e b on a.g = b.g and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) group by all),
+  l as (select u, v from p where 100 * m >= 85 * (nu + nv - m)), links as (select u, v from l union all select v, u from l),
+  reach as (select doc_id as node, doc_id as seen from s union select r.node, k.v from reach r join links k on k.u = r.seen)
+  select s.doc_id, len(s.s)::bigint as n_shingles, min(seen) as component_id, s.doc_id = min(seen) as kept from s join reach on node = s.doc_id group by s.doc_id, s.s"""

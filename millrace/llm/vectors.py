@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, materialize, table
 
-TREES, SAMPLE, LEAF, BLOCK, SPILL, TIGHT, SEED = 12, 16384, 256, 512, 0.08, 0.9, 5
+TREES, SAMPLE, LEAF, BLOCK, SPILL, TIGHT, SEED = 12, 16384, 512, 512, 0.08, 0.9, 5
 
 
 def fit_forest(sample: np.ndarray, total: int, trees: int = TREES, seed: int = SEED) -> list[dict]:
@@ -175,3 +175,10 @@ def near_vectors(rows: DataFrame, cosine: float = 0.95, trees: int = TREES) -> D
 
 def op6_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP6_SQL = r"""with recursive v as (select vec_id, embedding::double[] as v from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+  links as (select a.vec_id as u, b.vec_id as v from v a join v b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) and list_cosine_similarity(a.v, b.v) >= 0.95),
+  reach as (select vec_id as node, vec_id as seen from embeddings union select r.node, k.v from reach r join links k on k.u = r.seen),
+  c as (select node, min(seen) as component_id from reach group by 1), n as (select u, count(*) as n from links group by 1)
+  select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id = component_id as kept from embeddings join c on node = vec_id left join n on u = vec_id"""

@@ -6,10 +6,11 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
-from millrace.llm import chains, lines, minhash, mixing, pages, pieces, pii, quality, suffixes, vectors
+from millrace.llm import catalog, chains, lines, minhash, mixing, pages, pieces, pii, quality, suffixes, vectors
 from tests.llm.conftest import words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -337,6 +338,17 @@ def test_page_text_and_templates(spark):
     assert got[203] == "Welcome to our site, friend. Text 0 of the page." and got[301] == "Welcome to our site, friend. Text 1 of the page."
 
 
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+def test_reference_sql(spark, data, name):
+    c = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        c.execute(f"create view {t} as select * from '{data}/{t}.parquet'")
+    df = catalog.QUERIES[name](spark, data)
+    got = c.execute(catalog.ORACLES[name])
+    names = [d[0] for d in got.description]
+    assert sorted(tuple(r[n] for n in names) for r in df.collect()) == sorted(got.fetchall()) and sorted(names) == sorted(df.columns)
+
+
 def test_given_pages(spark, data):
     for r in pages.main_text(spark.read.parquet(f"{data}/pages.parquet")).join(spark.read.parquet(f"{data}/pages.parquet").select("page_id", "html"), "page_id").collect():
         m = re.search(r"<article>(.*?)(</article>|\Z)", r.html, re.S)
