@@ -20,7 +20,8 @@ from typing import Any
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import chunking, controller, decisions, profile
+from millrace.functions import kernels as K
+from millrace.operators import chunking, controller, decisions, profile, similarity
 from millrace.plans.model import Chunk, CostRates, Intent, NotRecommended, Plan, RuntimeContext, canonical_json, fingerprint, load_plan, run_id
 from millrace.plans.state import Store
 from millrace.sources import sinks
@@ -118,8 +119,30 @@ class Engine:
             rows = chunking.counted(self.connector(intent).read(), intent.key, rows.drop("n_rows")).orderBy("chunk")
         return [Chunk(f"{r['chunk']:03d}", "range", r["lo"], r["hi"], r.asDict().get("n_rows", r["est_rows"]), r["est_bytes"]) for r in rows.collect()]
 
+    def context(self, p: dict[str, Any], active: int = 0, most: int = 0) -> dict[str, Any]:
+        """The circumstances of a run as they are now; what can't be told is neutral."""
+        try:
+            load = min(2.0, max(0.0, os.getloadavg()[0] / (os.cpu_count() or 1)))
+        except OSError:
+            load = None
+        classes = self.spark.range(1).select(K.source_load(F.lit(active), F.lit(most)).alias("s"), K.network_quality(F.lit(float(p["latency"]["p50_ms"]))).alias("n")).first()
+        return {"schema_version": 1, "source_load": classes["s"], "concurrent": self.store.running(), "time_band": datetime.now(timezone.utc).hour // 4, "system_load": load, "network": classes["n"], "row_estimate": p["n_rows"]}
+
+    def estimate(self, intent: Intent, p: dict[str, Any]) -> dict[str, Any]:
+        """Throughput from the runs under like circumstances and from all recent runs."""
+        shape = "schema_version int, source_load string, concurrent int, time_band int, system_load double, network string, row_estimate long"
+        now = self.spark.createDataFrame([tuple(self.context(p).values())], shape)
+        rows = self.store.with_context(intent.source_type, intent.object_name).where((F.col("throughput") > 0) & (F.lower("status") == "success"))
+        age = K.age_days(F.current_timestamp(), F.try_to_timestamp("start_time"))
+        then = rows.select("run_id", "throughput", age.alias("age_days"), F.from_json("context_json", shape).alias("c")).select("run_id", "throughput", "age_days", "c.*")
+        scored = similarity.score_runs(now, then.withColumn("has_context", F.lit(True)).withColumn("is_benchmark", F.lit(False)))
+        past = [(i, float(t), True) for i, t in enumerate(self.store.throughputs(intent.source_type, intent.object_name))]
+        return similarity.estimate(scored, self.spark.createDataFrame(past, "seq long, throughput double, has_context boolean")).first().asDict()
+
     def _expected(self, intent: Intent, p: dict[str, Any], workers: int, width: int) -> float:
         past = self.store.throughputs(intent.source_type, intent.object_name)
+        if past and not self.store.with_context(intent.source_type, intent.object_name, 1).isEmpty():
+            return float(self.estimate(intent, p)["value"])
         if past:
             smooth = past[0]
             for x in past[1:]:
@@ -156,7 +179,7 @@ class Engine:
             os.makedirs(folder, exist_ok=True)
             sinks.check_space(folder, plan.est_bytes)
         body = canonical_json(plan.to_dict())
-        self.store.append("runs", {"run_id": rid, "plan_id": plan.plan_id, "intent_hash": plan.intent_hash, "source": intent.source_type, "object": intent.object_name, "strategy": plan.strategy, "workers": plan.workers, "start_time": start, "status": "running", "plan_json": body, "fingerprint": fingerprint(json.loads(body)), "replay_of": replay_of, "constrained": planned.constrained})
+        self.store.append("runs", {"run_id": rid, "plan_id": plan.plan_id, "intent_hash": plan.intent_hash, "source": intent.source_type, "object": intent.object_name, "strategy": plan.strategy, "workers": plan.workers, "start_time": start, "status": "running", "context_json": json.dumps(self.context({"n_rows": plan.est_rows, "latency": {"p50_ms": plan.rule["threshold_ms"] / 5 if plan.rule else 0.5}})), "plan_json": body, "fingerprint": fingerprint(json.loads(body)), "replay_of": replay_of, "constrained": planned.constrained})
         source, bounds = self.connector(intent), [(c.lo, c.hi) for c in plan.chunks]
 
         def one(chunk: Chunk) -> dict[str, Any]:

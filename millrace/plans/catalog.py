@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import kernels as K
-from millrace.operators import chunking, controller, decisions, execution, history, profile, similarity
+from millrace.operators import backoff, chunking, controller, decisions, execution, history, profile, similarity
 from millrace.sources import scans
 from millrace.sources.tables import chunk_log, load, runs
 
@@ -397,6 +397,12 @@ def rule_confidence(spark, d):
     return execution.rule_confidence(_values(spark, _FIRED)).select("id", _r("rate"), "impact", "confidence")
 
 
+@query()
+def adaptive_backoff(spark, d):
+    rows = chunk_log(spark, d).select(F.col("run_id").cast("long").alias("run_id"), F.struct("chunk_id", "line").alias("seq"), (F.col("duration") / 1000).alias("query_ms"))
+    return backoff.replay(rows.select("run_id", F.concat_ws(".", F.lpad("seq.chunk_id", 12, "0"), "seq.line").alias("seq"), "query_ms"), backoff.Rule(threshold_ms=55.0))
+
+
 # Decisions.
 
 

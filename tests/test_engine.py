@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from millrace import cli
 from millrace.plans.api import Engine, judge
 from millrace.plans.model import Chunk, Constraints, CostRates, Intent, NotRecommended, Plan, PlanCorruption, RuntimeContext, UnsupportedPlan, ValidationError, canonical_json, fingerprint, load_plan
+from millrace.operators.backoff import Rule, fold
+from millrace.plans import text
 from millrace.plans.state import Store
 from millrace.sources import scans, sinks
 from millrace.sources.connectors import connect
@@ -58,6 +60,19 @@ def test_canonical_json_rules():
     assert canonical_json({"b": 1.23456789, "a": float("nan"), "c": [2, 1]}) == '{"a":0.0,"b":1.234568,"c":[2,1]}'
 
 
+def test_backoff_needs_both_limits_and_rests():
+    rule = Rule(threshold_ms=5.0, floor_ms=50.0)
+    assert fold([10.0, 49.0], rule) == [0.0, 0.0]
+    assert fold([60.0] * 6, rule) == [2.0, 0.0, 0.0, 0.0, 4.0, 0.0]
+    assert sum(p > 0 for p in fold([60.0] * 100, rule)) == 10 and max(fold([60.0] * 100, rule)) == 30.0
+
+
+def test_reports():
+    assert text.reasons(1, 0.5, None, True) == ["sparse_evidence", "weak_match", "dominant_match"]
+    assert text.exclusions([(f"r{i}", "x") for i in range(5)]).endswith("and 2 more")
+    assert text.duration(90) == "1.5 min" and text.verdict("safe") == "SAFE TO RUN"
+
+
 def test_judge_branches():
     assert judge(1, [1] * 4) == (False, 0.0, "none")
     assert judge(79, [100.0] * 6)[0] and not judge(81, [100.0] * 6)[0]
@@ -142,6 +157,9 @@ def test_engine_loop_and_replay(spark, data, tmp_path):
     assert told["run"]["replay_of"] == first.run_id and told["run"]["fingerprint"] == engine.explain(first.run_id)["run"]["fingerprint"]
     assert len(engine.history("parquet", "orders")) == 2 and engine.diagnose(first.run_id)["skew"] in ("LOW", "MODERATE", "HIGH")
     assert engine.inspect("parquet", "orders")["verdict"] == "NEEDS ATTENTION"
+    told = engine.estimate(intent, p)
+    assert told["method"] == "blended" and told["n_matched"] == 2 and "rows/s" in text.estimate(told)
+    assert engine.plan(intent, profiled=p).plan.est_throughput > 0
     ctx = RuntimeContext.build({"max_connections": 2, "concurrent": 2})
     stop = engine.plan(intent, ctx, profiled=p)
     assert stop.verdict == "not_recommended" and stop.constrained
