@@ -142,11 +142,11 @@ def _over_edges(edges: list) -> list[tuple[int, int, int, int]]:
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """doc_id, covered, spans, others, component_id of the documents with passages of LEAST words or more found elsewhere.
+    """doc_id, covered, spans, component_id of the documents with passages of LEAST words or more found elsewhere.
 
-    spans are word ranges [start, end); others the documents that the neighbours in
-    the sorted array are in (linked classes, not all pairs); component_id the least
-    id reachable.
+    spans are word ranges [start, end), each with the least other document among its
+    neighbours in the sorted array (null: only the document's own words repeat);
+    component_id is the least id reachable over neighbours.
     """
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     seeds = materialize(texts.mapInArrow(seed_rows(GRAM, LEAST - GRAM + 1, LEAST, False), "h long, doc_id long, pos int"), "suffix-seeds")
@@ -165,19 +165,25 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
 
 def by_document(passages: DataFrame) -> DataFrame:
-    """(doc_id, start, end, other) -> one row a document: its ranges joined, and its classes."""
-    ranges = passages.groupBy("doc_id", "start").agg(F.max("end").alias("end"))
-    joined = ranges.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("r"))
-    grow = lambda out, x: F.when(
-        (F.size(out) > 0) & (x["start"] <= F.try_element_at(out, F.lit(-1))["end"]),
-        F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(out, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(out, F.lit(-1))["end"], x["end"]).alias("end")))),
-    ).otherwise(F.concat(out, F.array(x)))
+    """(doc_id, start, end, other) -> one row a document: its ranges joined, each with the least partner, and its class.
+
+    A document has no more ranges than words, however many others share them.
+    """
+    partner = F.min(F.when(F.col("other") != F.col("doc_id"), F.col("other")))
+    ranges = passages.groupBy("doc_id", "start").agg(F.max("end").alias("end"), partner.alias("other"))
+    joined = ranges.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "other"))).alias("r"))
+
+    def grow(out, x):
+        last = F.try_element_at(out, F.lit(-1))
+        union = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), F.least(last["other"], x["other"]).alias("other"))
+        kept = F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))
+        return F.when((F.size(out) > 0) & (x["start"] <= last["end"]), F.concat(kept, F.array(union))).otherwise(F.concat(out, F.array(x)))
+
     joined = joined.select("doc_id", F.aggregate("r", F.slice("r", 1, 0), grow).alias("spans"))
-    others = passages.where("doc_id <> other").groupBy("doc_id").agg(F.sort_array(F.collect_set("other")).alias("others"))
     comps = connected_components(passages.select(F.col("doc_id").alias("u"), F.col("other").alias("v")))
-    out = joined.join(others, "doc_id", "left").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    out = joined.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     covered = F.aggregate("spans", F.lit(0).cast("long"), lambda t, x: t + x["end"] - x["start"])
-    return out.select("doc_id", covered.alias("covered"), "spans", F.coalesce("others", F.array().cast("array<long>")).alias("others"), F.coalesce("component", "doc_id").alias("component_id"))
+    return out.select("doc_id", covered.alias("covered"), "spans", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def op2_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, materialize, table
 
-TREES, SAMPLE, LEAF, BLOCK, SPILL, TIGHT, SEED = 12, 16384, 512, 512, 0.08, 0.9, 5
+TREES, SAMPLE, LEAF, BLOCK, SPILL, TIGHT, SEED = 10, 16384, 512, 512, 0.05, 0.9, 5
 
 
 def fit_forest(sample: np.ndarray, total: int, trees: int = TREES, seed: int = SEED) -> list[dict]:
@@ -126,9 +126,10 @@ def _compare(cosine: float):
 def near_vectors(rows: DataFrame, cosine: float = 0.95, trees: int = TREES) -> DataFrame:
     """rows (vec_id, embedding) -> vec_id, n_links, component_id, kept, one row per row."""
     spark = rows.sparkSession
-    v = F.col("embedding").cast("array<double>")
+    kind = "array<float>" if rows.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    v = F.col("embedding").cast(kind)
     usable = F.col("vec_id").isNotNull() & v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    named = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(F.coalesce(usable, F.lit(False)), F.transform(v, lambda x: x + 0.0)).alias("v"))
+    named = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(F.coalesce(usable, F.lit(False)), F.transform(v, lambda x: x + F.lit(0.0).cast(kind[6:-1]))).alias("v"))
     named = named.withColumn("h1", F.when(F.col("v").isNotNull(), F.xxhash64("v"))).withColumn("h2", F.when(F.col("v").isNotNull(), F.hash("v")))
     named = materialize(named, "vectors")
     same = ["h1", "h2"]
@@ -146,11 +147,11 @@ def near_vectors(rows: DataFrame, cosine: float = 0.95, trees: int = TREES) -> D
             for batch in batches:
                 for at in range(0, batch.num_rows, 2048):
                     part = batch.slice(at, 2048)
-                    x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                    x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1).astype(np.float64)
                     found = [[base + y for y in f] for f in leaves_of(forest, x)]
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.list_(pa.int64()))], ["id", "v", "copies", "leaves"])
 
-        parts.append(own.select("id", "v", "copies").mapInArrow(route, "id long, v array<double>, copies long, leaves array<long>"))
+        parts.append(own.select("id", "v", "copies").mapInArrow(route, f"id long, v {kind}, copies long, leaves array<long>"))
     if not parts:
         return named.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     routed = parts[0]
