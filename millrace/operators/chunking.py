@@ -24,22 +24,37 @@ def range_chunks(stats: DataFrame, workers: int, row_bytes: int = 0, rows_each:
     return frame.select("chunk", lo.alias("lo"), hi.cast("long").alias("hi"), est.alias("est_rows"), (est * row_bytes).alias("est_bytes"))
 
 
-def counted(df: DataFrame, key: str, chunks: DataFrame) -> DataFrame:
-    """Chunks with the rows that they hold.
+def located(df: DataFrame, key: str, chunks: DataFrame) -> DataFrame:
+    """_k and the chunk that holds it (null: none), for each row of df.
 
-    At most 200 chunks: they are broadcast, and each row finds its own by a range
-    condition; counts are combined before the shuffle.
+    The bounds are one row of at most 200 numbers, broadcast; a key's chunk is
+    found by dividing, then moved by one at most for the bounds' rounding, so a
+    row costs the same whatever the number of chunks.
     """
-    rows = df.select(F.col(key).alias("_k")).join(F.broadcast(chunks.select("chunk", "lo", "hi")), (F.col("_k") >= F.col("lo")) & (F.col("_k") < F.col("hi")))
-    counts = rows.groupBy("chunk").agg(F.count(F.lit(1)).alias("n_rows"))
+    frame = chunks.agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("b"))
+    rows = df.select(F.col(key).alias("_k")).join(F.broadcast(frame))
+    n, low = F.size("b"), F.get("b", F.lit(0))["lo"]
+    width = (F.get("b", n - 1)["hi"] - low).cast("double") / n
+    guess = F.greatest(F.lit(0), F.least(n - 1, F.floor((F.col("_k") - low) / F.greatest(width, F.lit(1e-9))).cast("int")))
+    rows = rows.select("_k", "b", guess.alias("_g"))
+    at = F.when(F.col("_k") < F.get("b", F.col("_g"))["lo"], F.col("_g") - 1).when(F.col("_k") >= F.get("b", F.col("_g"))["hi"], F.col("_g") + 1).otherwise(F.col("_g"))
+    rows = rows.select("_k", "b", at.alias("_g"))
+    held = (F.col("_k") >= F.get("b", F.col("_g"))["lo"]) & (F.col("_k") < F.get("b", F.col("_g"))["hi"])
+    return rows.select("_k", F.when(held, F.col("_g")).alias("chunk"))
+
+
+def counted(df: DataFrame, key: str, chunks: DataFrame) -> DataFrame:
+    """Chunks with the rows that they hold; counts are combined before the shuffle."""
+    counts = located(df, key, chunks).where("chunk is not null").groupBy("chunk").agg(F.count(F.lit(1)).alias("n_rows"))
     return chunks.join(counts, "chunk", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
 
 
 def reassembly(df: DataFrame, key: str, chunks: DataFrame) -> DataFrame:
-    """Whether the chunks together are the table: rows of all chunks, rows of the table, keys in two chunks."""
-    rows = df.select(F.col(key).alias("_k")).join(F.broadcast(chunks.select("chunk", "lo", "hi")), (F.col("_k") >= F.col("lo")) & (F.col("_k") < F.col("hi")), "left")
-    by_key = rows.groupBy("_k").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("chunk").alias("chunks"))
-    return by_key.agg(F.sum("n").alias("table_rows"), F.sum(F.when(F.col("chunks") > 0, F.col("n")).otherwise(0)).alias("chunk_rows"), F.sum((F.col("chunks") > 1).cast("long")).alias("overlaps"))
+    """Whether the chunks together are the table: rows of the table, rows of all chunks, chunks that begin before the one before ends."""
+    rows = located(df, key, chunks).agg(F.count(F.lit(1)).alias("table_rows"), F.count("chunk").alias("chunk_rows"))
+    before = F.lag("hi").over(Window.orderBy("lo"))
+    overlaps = chunks.select((F.col("lo") < before).alias("o")).agg(F.coalesce(F.sum(F.col("o").cast("long")), F.lit(0)).alias("overlaps"))
+    return rows.join(F.broadcast(overlaps))
 
 
 def schedule(chunks: DataFrame, size: str = "n_rows") -> DataFrame:
