@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import connected_components, discard, materialize, table
 
 EDITS, SHORTEST = 2, 24
-#: Letters whose counts make a line's sketch, six bits each; one edit changes two counts by one at most.
-LETTERS = "etaonihrsd"
+#: Letters whose counts, modulo 16, make a line's sketch; one edit changes two counts by one at most.
+LETTERS = "etaonihrsdulg"
 
 
 def _begin(length, i: int):
@@ -60,20 +60,20 @@ def probe_keys() -> list:
 
 
 def sketch():
-    """Counts of LETTERS in line, 63 at most, packed into one number."""
+    """Counts of LETTERS in line, modulo 16, packed into one number of four bits each."""
     total = F.lit(0).cast("long")
     for i, c in enumerate(LETTERS):
-        n = F.least(F.length("line") - F.length(F.replace("line", F.lit(c), F.lit(""))), F.lit(63)).cast("long")
-        total = total.bitwiseOR(F.shiftleft(n, 6 * i))
+        n = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(c), F.lit("")))
+        total = total.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(15)).cast("long"), 4 * i))
     return total
 
 
 def _sketches_apart(a, b):
-    """A lower bound of twice the edit distance of two lines, from their sketches."""
+    """A lower bound of twice the edit distance of two lines, from their sketches: counts differ by their distance on a circle at least."""
     total = F.lit(0)
     for i in range(len(LETTERS)):
-        part = [F.shiftright(x, 6 * i).bitwiseAND(F.lit(63)) for x in (a, b)]
-        total = total + F.abs(part[0] - part[1])
+        d = F.abs(F.shiftright(a, 4 * i).bitwiseAND(F.lit(15)) - F.shiftright(b, 4 * i).bitwiseAND(F.lit(15)))
+        total = total + F.least(d, F.lit(16) - d)
     return total
 
 
@@ -134,8 +134,12 @@ def line_duplicates(docs: DataFrame) -> DataFrame:
     nodes = materialize(keyed.select("h", "h2", "first", "n"), "lines")
 
     left = keyed.select("h", "s", F.explode(F.array(*names[: len(index)])).alias("key"))
-    right = keyed.select(F.col("h").alias("other"), F.col("s").alias("t"), F.explode(F.array(*names[len(index) :])).alias("key")).hint("merge")
-    near = (left["key"] == right["key"]) & (left["h"] != right["other"]) & (_sketches_apart(F.col("s"), F.col("t")) <= 2 * EDITS)
+    # Lines of one length would meet in both directions: the probe at its own length takes only smaller partners.
+    equal = sum(min(i, EDITS - i) * 2 + 1 for i in range(EDITS + 1))
+    probe = [F.struct(F.col(n).alias("key"), F.lit(x < equal).alias("equal")) for x, n in enumerate(names[len(index) :])]
+    right = keyed.select(F.col("h").alias("other"), F.col("s").alias("t"), F.explode(F.array(*probe)).alias("p")).select("other", "t", F.col("p.key").alias("key"), F.col("p.equal").alias("equal")).hint("merge")
+    one_way = (F.col("h") < F.col("other")) | (~F.col("equal") & (F.col("h") != F.col("other")))
+    near = (left["key"] == right["key"]) & one_way & (_sketches_apart(F.col("s"), F.col("t")) <= 2 * EDITS)
     pairs = left.join(right, near).select(F.least("h", "other").alias("u"), F.greatest("h", "other").alias("v")).distinct()
     pairs = materialize(pairs, "line-pairs")
     discard(keyed)
