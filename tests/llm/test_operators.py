@@ -177,6 +177,18 @@ def test_fuzzy_passages(make):
         assert all(abs(s.start - 150) <= 12 and abs(s.end - 270) <= 12 for s in r.spans)
 
 
+def test_passages_about_a_replaced_block(make):
+    rng = random.Random(18)
+    rows, at = [], {}
+    for k, (left, gap, right) in enumerate([(100, 60, 100), (150, 90, 150), (300, 160, 300), (450, 300, 450)] * 4):
+        one, two = words(rng, left, 10**6), words(rng, right, 10**6)
+        for i, between in ((2 * k, gap), (2 * k + 1, gap if k < 8 else 0)):
+            rows.append((i, " ".join(words(rng, 30, 10**6) + one + words(rng, between, 10**6) + two + words(rng, 30, 10**6))))
+            at[i] = set(range(30, 30 + left)) | set(range(30 + left + between, 30 + left + between + right))
+    got = {r.doc_id: {p for s in r.spans for p in range(s.start, s.end)} for r in chains.fuzzy_passages(make(rows)).collect()}
+    assert all(len(p & got.get(i, set())) >= len(p) - 5 for i, p in at.items())
+
+
 def test_chain_prefers_collinear_anchors():
     x = np.array([0, 7, 14, 15, 21, 28])
     y = np.array([100, 107, 114, 3, 121, 128])
