@@ -1,9 +1,10 @@
 """Line near-duplicates by a segment-partition edit join, in SQL functions only.
 
-A line of at least ``SHORTEST`` characters is cut into ``EDITS`` + 1 segments.
-By pigeonhole, of two lines within ``EDITS`` edits one has a segment that the
-other holds unchanged, at a place that its length and the segment's number
-bound. The segments are the index; each line probes it with the few substrings
+Equal lines of any length are one. Lines of ``LIMITS`` characters or more also
+match with 1 or 2 edits (the shorter line's length decides): a line is cut into
+one segment more than its edits. By pigeonhole, of two lines within that many
+edits one has a segment that the other holds unchanged, at a place that its
+length and the segment's number bound. The segments are the index; each line probes it with the few substrings
 that the multi-match-aware rule allows for its own and each smaller length.
 Lines that meet, and whose
 letter counts could belong to lines so near, are verified by a banded bit-parallel edit distance: the
@@ -14,7 +15,7 @@ Equal lines are one node before the join, so a line with any number of copies
 takes part once. Of each group of lines linked so (through others as well), the
 first by doc_id and position stays and the rest are dropped from their texts.
 
-Edge cases: blank lines always stay; shorter lines stay too. Null text counts
+Edge cases: blank lines always stay. Null text counts
 as empty and stays null. Rows with a null doc_id keep their text and take no
 part. Rows repeated with the same id and text hold the same lines; their
 first copies stay in each. Lines and texts of any length are read whole.
@@ -27,36 +28,51 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, discard, materialize, table
 
-EDITS, SHORTEST = 2, 24
+EDITS, SHORTEST = 2, 1
+#: From so many characters on, a line may differ from its like by 1 and by 2 edits; shorter ones must be equal.
+LIMITS = {1: 10, 2: 20}
 #: Letters whose counts, modulo 16, make a line's sketch; one edit changes two counts by one at most.
 LETTERS = "etaonihrsdulg"
 
 
-def _begin(length, i: int):
+def _begin(length, i: int, edits: int):
     """0-based start of segment i of a line of that length; the longer segments come last."""
-    m = EDITS + 1
+    m = edits + 1
     return F.expr(f"{i} * ({length} div {m}) + greatest(0, {i} - ({m} - {length} % {m}))")
 
 
-def _segment_key(length: str, i: int, at):
-    size = _begin(length, i + 1) - _begin(length, i)
-    return F.xxhash64(F.expr(length), F.lit(i), F.substring("line", at + 1, size))
+def _segment_key(length: str, i: int, shift: int, edits: int):
+    size = _begin(length, i + 1, edits) - _begin(length, i, edits)
+    return F.xxhash64(F.expr(length), F.lit(i), F.substring("line", _begin(length, i, edits) + F.lit(shift) + 1, size))
 
 
-def index_keys() -> list:
-    return [_segment_key("length(line)", i, _begin("length(line)", i)) for i in range(EDITS + 1)]
+def _places(edits: int, less: int) -> list[tuple[int, int]]:
+    """(segment, shift) that a line probes for lines shorter by less, by both bounds on the shift."""
+    bounds = [(i, max(-i, less - (edits - i)), min(i, less + (edits - i))) for i in range(edits + 1)]
+    return [(i, shift) for i, low, high in bounds for shift in range(low, high + 1)]
 
 
-def probe_keys() -> list:
-    """Substrings that may equal segment i (from 0) of a line shorter by less characters, by both bounds on their shift."""
-    out = []
+def probe_keys() -> tuple[list, int, list[int]]:
+    """Substrings that may equal a segment of a line shorter by 0 to EDITS characters; null where the shorter line's
+    limit asks for fewer. How many are for lines of the same length, and which of these are the line's own segments."""
+    out, own = [], []
     for less in range(EDITS + 1):
         length = f"(length(line) - {less})"
-        for i in range(EDITS + 1):
-            low, high = max(-i, less - (EDITS - i)), min(i, less + (EDITS - i))
-            for shift in range(low, high + 1):
-                out.append(_segment_key(length, i, _begin(length, i) + F.lit(shift)))
-    return out
+        most, fewer = _places(EDITS, less), _places(1, less) if less <= 1 else []
+        slots = {most.index(at): at for at in most}
+        # With one edit, segment 1's unshifted place takes the slot of the same place among the more.
+        taken = [most.index(at) if at in most else None for at in fewer]
+        spare = iter(x for x in slots if x not in taken)
+        taken = [next(spare) if x is None else x for x in taken]
+        for x, (i, shift) in slots.items():
+            key = F.when(F.expr(length) >= LIMITS[EDITS], _segment_key(length, i, shift, EDITS))
+            if x in taken:
+                i1, shift1 = fewer[taken.index(x)]
+                key = key.when(F.expr(length) >= LIMITS[1], _segment_key(length, i1, shift1, 1))
+            if not less and not shift:
+                own.append(len(out))
+            out.append(key)
+    return out, len(_places(EDITS, 0)), own
 
 
 def sketch():
@@ -125,19 +141,18 @@ def line_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, line_no (from 0) of the lines that a group's earlier line makes needless."""
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.length("line") >= SHORTEST).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    index, probes = index_keys(), probe_keys()
-    names = [f"i{x}" for x in range(len(index))] + [f"p{x}" for x in range(len(probes))]
-    hashed = lines.select("doc_id", "line_no", F.xxhash64("line").alias("h"), F.hash("line").alias("h2"), sketch().alias("s"), *(c.alias(n) for c, n in zip(index + probes, names, strict=True)))
+    probes, equal, own = probe_keys()
+    names = [f"p{x}" for x in range(len(probes))]
+    hashed = lines.select("doc_id", "line_no", F.xxhash64("line").alias("h"), F.hash("line").alias("h2"), sketch().alias("s"), *(c.alias(n) for c, n in zip(probes, names, strict=True)))
     # Equal lines are one row; doc_id and line_no of the first tell where it is.
     same = hashed.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("s").alias("s"), *(F.first(n).alias(n) for n in names))
     keyed = materialize(same, "line-keys")
     nodes = materialize(keyed.select("h", "h2", "first", "n"), "lines")
 
-    left = keyed.select("h", "s", F.explode(F.array(*names[: len(index)])).alias("key"))
+    left = keyed.select("h", "s", F.explode(F.array(*(names[x] for x in own))).alias("key")).where("key is not null")
     # Lines of one length would meet in both directions: the probe at its own length takes only smaller partners.
-    equal = sum(min(i, EDITS - i) * 2 + 1 for i in range(EDITS + 1))
-    probe = [F.struct(F.col(n).alias("key"), F.lit(x < equal).alias("equal")) for x, n in enumerate(names[len(index) :])]
-    right = keyed.select(F.col("h").alias("other"), F.col("s").alias("t"), F.explode(F.array(*probe)).alias("p")).select("other", "t", F.col("p.key").alias("key"), F.col("p.equal").alias("equal")).hint("merge")
+    probe = [F.struct(F.col(n).alias("key"), F.lit(x < equal).alias("equal")) for x, n in enumerate(names)]
+    right = keyed.select(F.col("h").alias("other"), F.col("s").alias("t"), F.explode(F.array(*probe)).alias("p")).select("other", "t", F.col("p.key").alias("key"), F.col("p.equal").alias("equal")).where("key is not null").hint("merge")
     one_way = (F.col("h") < F.col("other")) | (~F.col("equal") & (F.col("h") != F.col("other")))
     near = (left["key"] == right["key"]) & one_way & (_sketches_apart(F.col("s"), F.col("t")) <= 2 * EDITS)
     pairs = left.join(right, near).select(F.least("h", "other").alias("u"), F.greatest("h", "other").alias("v")).distinct()
@@ -148,7 +163,8 @@ def line_duplicates(docs: DataFrame) -> DataFrame:
     found = texts.join(places.hint("merge"), "doc_id").select("h", F.get(F.split("text", "\n"), F.col("line_no")).alias("line")).groupBy("h").agg(F.min("line").alias("line"))
     found = materialize(found, "line-texts")
     both = pairs.join(found.select(F.col("h").alias("u"), F.col("line").alias("a")), "u").join(found.select(F.col("h").alias("v"), F.col("line").alias("b")), "v")
-    links = both.where(banded_distance("a", "b") <= EDITS).select("u", "v")
+    limit = F.when(F.least(F.char_length("a"), F.char_length("b")) >= LIMITS[EDITS], EDITS).otherwise(1)
+    links = both.where(banded_distance("a", "b") <= limit).select("u", "v")
     groups = materialize(connected_components(links), "line-groups")
 
     known = nodes.select("h", "h2", "first", "n").join(groups, nodes.h == groups.node, "left").select("h", "h2", "first", "n", F.coalesce("component", "h").alias("c"))

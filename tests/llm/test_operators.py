@@ -136,6 +136,37 @@ def test_line_groups(make):
     assert {r.doc_id: r.text for r in lines.without_duplicate_lines(make(rows)).collect()} == expected and len(links) > 20
 
 
+def test_short_lines(make):
+    rng = random.Random(14)
+    seen = ["Menu", "x", "Read more", "by A. Author", "by A. Authot", "by B. Authot"]  # limits 0 to 9 characters, 1 to 19
+    for n in range(8, 23):  # about both limits
+        base = "".join(rng.choice("abcdef") for _ in range(n))
+        seen += [base, base[:4] + "Q" + base[5:], base[:-2], base[:3] + base[4:], "Z" + base]
+    rows = [(i, "\n".join(rng.sample(seen, 30) + ["", " "])) for i in range(12)]
+    every = defaultdict(list)
+    for i, t in rows:
+        for n, x in enumerate(t.split("\n")):
+            if WORD.search(x):
+                every[x].append((i, n))
+
+    def linked(a, b):
+        n = min(len(a), len(b))
+        limit = 2 if n >= 20 else 1 if n >= 10 else 0
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[:], i
+            for j, y in enumerate(b, 1):
+                row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
+        return row[-1] <= limit
+
+    keys, groups = sorted(every), defaultdict(list)
+    for x, c in _components(keys, [(a, b) for a in keys for b in keys if a < b and linked(a, b)]).items():
+        groups[c] += every[x]
+    gone = {p for g in groups.values() for p in sorted(g)[1:]}
+    expected = {i: "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone) for i, t in rows}
+    assert {r.doc_id: r.text for r in lines.without_duplicate_lines(make(rows)).collect()} == expected
+
+
 def test_banded_distance(spark):
     rng = random.Random(9)
     pairs = [("".join(rng.choice("ab") for _ in range(rng.randint(5, 30))), "".join(rng.choice("ab") for _ in range(rng.randint(5, 30)))) for _ in range(60)] + [("abcdef" * 8, "abcdef" * 8), ("x" * 30, "x" * 28)]
