@@ -18,8 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; one of our own only where none is named."""
+    """The shared folder the cluster names. Where none is named: the warehouse, which all machines share, or on one machine a temporary folder."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        root = spark.conf.get("spark.sql.warehouse.dir")
     if not root:
         root = getattr(spark, "_millrace_scratch", None)
         if root is None:
@@ -53,9 +55,19 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
-def spread(df: DataFrame, *cols) -> DataFrame:
-    """Deal rows evenly before costly work; Spark picks the count and splits large parts."""
-    return df.hint("rebalance", *cols) if cols else df.hint("rebalance")
+def named_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, d, text of the rows with an id and a text; d (long) names the text.
+
+    d is the id itself, but where one id has different texts it is a hash of both,
+    so each text is a document of its own.
+    """
+    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    h = texts.select("doc_id", F.xxhash64("text").alias("t")).groupBy("doc_id").agg(F.min("t").alias("low"), F.max("t").alias("high"))
+    several = materialize(h.where("low <> high").select("doc_id"), "several-texts")
+    if several.isEmpty():
+        return texts.select("doc_id", F.col("doc_id").alias("d"), "text")
+    marked = texts.join(several.withColumn("_several", F.lit(True)), "doc_id", "left")
+    return marked.select("doc_id", F.when(F.col("_several"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id")).alias("d"), "text")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

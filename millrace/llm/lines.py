@@ -6,19 +6,26 @@ one segment more than its edits. By pigeonhole, of two lines within that many
 edits one has a segment that the other holds unchanged, at a place that its
 length and the segment's number bound. The segments are the index; each line probes it with the few substrings
 that the multi-match-aware rule allows for its own and each smaller length.
-Lines that meet, and whose
-letter counts could belong to lines so near, are verified by a banded bit-parallel edit distance: the
+Lines that meet, and whose counts of letters and
+digits could belong to lines so near, are verified by a banded bit-parallel edit distance: the
 vertical differences of 2 * ``EDITS`` + 1 diagonals are the bits of two
 integers that one pass over the characters updates.
 
 Equal lines are one node before the join, so a line with any number of copies
-takes part once. Of each group of lines linked so (through others as well), the
-first by doc_id and position stays and the rest are dropped from their texts.
+takes part once. Segments are joined one number after the other, which bounds
+the rows on disk; a segment that very many lines share is split over tasks by
+adaptive execution, and its lines meet within the join, where counts that are
+too far apart drop them: no pair of theirs is written out. Of each group of
+lines linked so (through others as well), the first by doc_id and position
+stays and the rest are dropped from their texts.
 
 Edge cases: blank lines always stay. Null text counts
 as empty and stays null. Rows with a null doc_id keep their text and take no
 part. Rows repeated with the same id and text hold the same lines; their
-first copies stay in each. Lines and texts of any length are read whole.
+first copies stay in each. Different texts of one id are told apart by their
+hash, and each keeps or loses its own lines. Ties go by id, line and text hash.
+An empty table gives an empty one; other columns stay as they are. Lines and
+texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -33,6 +40,8 @@ EDITS, SHORTEST = 2, 1
 LIMITS = {1: 10, 2: 20}
 #: Letters whose counts, modulo 16, make a line's sketch; one edit changes two counts by one at most.
 LETTERS = "etaonihrsdulg"
+#: The same for the digits, in which the lines of one template differ.
+DIGITS = "0123456789"
 
 
 def _begin(length, i: int, edits: int):
@@ -52,42 +61,41 @@ def _places(edits: int, less: int) -> list[tuple[int, int]]:
     return [(i, shift) for i, low, high in bounds for shift in range(low, high + 1)]
 
 
-def probe_keys() -> tuple[list, int, list[int]]:
-    """Substrings that may equal a segment of a line shorter by 0 to EDITS characters; null where the shorter line's
-    limit asks for fewer. How many are for lines of the same length, and which of these are the line's own segments."""
-    out, own = [], []
+def probe_keys() -> tuple[list, list[tuple[int, list[tuple[int, bool]]]]]:
+    """Hashes of the substrings that may equal a segment of a line shorter by 0 to EDITS characters; null where the
+    shorter line's limit asks for fewer. For each segment: which of them is the line's own, and which probe for it
+    (and whether for lines of the same length)."""
+    out, own, probes = [], {}, {}
     for less in range(EDITS + 1):
-        length = f"(length(line) - {less})"
-        most, fewer = _places(EDITS, less), _places(1, less) if less <= 1 else []
-        slots = {most.index(at): at for at in most}
-        # With one edit, segment 1's unshifted place takes the slot of the same place among the more.
-        taken = [most.index(at) if at in most else None for at in fewer]
-        spare = iter(x for x in slots if x not in taken)
-        taken = [next(spare) if x is None else x for x in taken]
-        for x, (i, shift) in slots.items():
+        length = f"(n - {less})"
+        fewer = _places(1, less) if less <= 1 else []
+        most = _places(EDITS, less)
+        if not set(fewer) <= set(most):
+            raise ValueError("the places of a smaller limit must be among those of the larger")
+        for i, shift in most:
             key = F.when(F.expr(length) >= LIMITS[EDITS], _segment_key(length, i, shift, EDITS))
-            if x in taken:
-                i1, shift1 = fewer[taken.index(x)]
-                key = key.when(F.expr(length) >= LIMITS[1], _segment_key(length, i1, shift1, 1))
+            if (i, shift) in fewer:
+                key = key.when(F.expr(length) >= LIMITS[1], _segment_key(length, i, shift, 1))
             if not less and not shift:
-                own.append(len(out))
+                own[i] = len(out)
+            probes.setdefault(i, []).append((len(out), not less))
             out.append(key)
-    return out, len(_places(EDITS, 0)), own
+    return out, [(own[i], probes[i]) for i in sorted(own)]
 
 
-def sketch():
-    """Counts of LETTERS in line, modulo 16, packed into one number of four bits each."""
+def sketch(chars: str):
+    """Counts of chars in line, modulo 16, packed into one number of four bits each."""
     total = F.lit(0).cast("long")
-    for i, c in enumerate(LETTERS):
+    for i, c in enumerate(chars):
         n = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(c), F.lit("")))
         total = total.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(15)).cast("long"), 4 * i))
     return total
 
 
-def _sketches_apart(a, b):
+def _sketches_apart(a, b, chars: str):
     """A lower bound of twice the edit distance of two lines, from their sketches: counts differ by their distance on a circle at least."""
     total = F.lit(0)
-    for i in range(len(LETTERS)):
+    for i in range(len(chars)):
         d = F.abs(F.shiftright(a, 4 * i).bitwiseAND(F.lit(15)) - F.shiftright(b, 4 * i).bitwiseAND(F.lit(15)))
         total = total + F.least(d, F.lit(16) - d)
     return total
@@ -137,48 +145,71 @@ def banded_distance(a: str, b: str, k: int = EDITS):
     return F.when(far, F.lit(k + 1)).otherwise(_let(F.struct(F.split(a, "").alias("p"), F.split(b, "").alias("t")), distance))
 
 
+def _lines(docs: DataFrame) -> DataFrame:
+    """doc_id, t (hash of the text), line_no (from 0), line, n (its characters) of all lines that aren't blank."""
+    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    every = texts.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return every.where(F.length("line") >= SHORTEST).where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("n", F.length("line"))
+
+
+def _near_pairs(keyed: DataFrame, names: list[str], segments: list[tuple[str, list[tuple[str, bool]]]]) -> DataFrame:
+    """Pairs (u, v) of line hashes that share a segment's key and have counts near enough."""
+    found = []
+    for own, probes in segments:
+        left = keyed.select("h", "s", "g", F.col(own).alias("key")).where("key is not null")
+        probe = F.array(*(F.struct(F.col(n).alias("key"), F.lit(equal).alias("equal")) for n, equal in probes))
+        right = keyed.select(F.col("h").alias("other"), F.col("s").alias("s2"), F.col("g").alias("g2"), F.explode(probe).alias("p"))
+        right = right.select("other", "s2", "g2", F.col("p.key").alias("key"), F.col("p.equal").alias("equal")).where("key is not null").hint("merge")
+        # Lines of one length would meet in both directions: the probe at its own length takes only smaller partners.
+        one_way = (F.col("h") < F.col("other")) | (~F.col("equal") & (F.col("h") != F.col("other")))
+        counts = _sketches_apart(F.col("s"), F.col("s2"), LETTERS) + _sketches_apart(F.col("g"), F.col("g2"), DIGITS)
+        met = left.join(right, (left["key"] == right["key"]) & one_way & (counts <= 2 * EDITS))
+        found.append(materialize(met.select(F.least("h", "other").alias("u"), F.greatest("h", "other").alias("v")).distinct(), "line-pairs"))
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.unionByName(more)
+    return pairs.distinct()
+
+
 def line_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0) of the lines that a group's earlier line makes needless."""
-    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.length("line") >= SHORTEST).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    probes, equal, own = probe_keys()
+    """doc_id, t (hash of the text), line_no (from 0) of the lines that a group's earlier line makes needless."""
+    lines = _lines(docs)
+    probes, segments = probe_keys()
     names = [f"p{x}" for x in range(len(probes))]
-    hashed = lines.select("doc_id", "line_no", F.xxhash64("line").alias("h"), F.hash("line").alias("h2"), sketch().alias("s"), *(c.alias(n) for c, n in zip(probes, names, strict=True)))
-    # Equal lines are one row; doc_id and line_no of the first tell where it is.
-    same = hashed.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("s").alias("s"), *(F.first(n).alias(n) for n in names))
+    digits = F.when(F.col("line").rlike("[0-9]"), sketch(DIGITS)).otherwise(F.lit(0).cast("long"))
+    hashed = lines.select("doc_id", "t", "line_no", F.xxhash64("line").alias("h"), F.hash("line").alias("h2"), sketch(LETTERS).alias("s"), digits.alias("g"), *(c.alias(n) for c, n in zip(probes, names, strict=True)))
+    # Equal lines are one row; doc_id, line_no and t of the first tell where it is.
+    same = hashed.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "line_no", "t")).alias("first"), F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("s", "g", *names)))
     keyed = materialize(same, "line-keys")
     nodes = materialize(keyed.select("h", "h2", "first", "n"), "lines")
-
-    left = keyed.select("h", "s", F.explode(F.array(*(names[x] for x in own))).alias("key")).where("key is not null")
-    # Lines of one length would meet in both directions: the probe at its own length takes only smaller partners.
-    probe = [F.struct(F.col(n).alias("key"), F.lit(x < equal).alias("equal")) for x, n in enumerate(names)]
-    right = keyed.select(F.col("h").alias("other"), F.col("s").alias("t"), F.explode(F.array(*probe)).alias("p")).select("other", "t", F.col("p.key").alias("key"), F.col("p.equal").alias("equal")).where("key is not null").hint("merge")
-    one_way = (F.col("h") < F.col("other")) | (~F.col("equal") & (F.col("h") != F.col("other")))
-    near = (left["key"] == right["key"]) & one_way & (_sketches_apart(F.col("s"), F.col("t")) <= 2 * EDITS)
-    pairs = left.join(right, near).select(F.least("h", "other").alias("u"), F.greatest("h", "other").alias("v")).distinct()
-    pairs = materialize(pairs, "line-pairs")
+    pairs = materialize(_near_pairs(keyed, names, [(names[own], [(names[x], equal) for x, equal in probes]) for own, probes in segments]), "line-pairs")
     discard(keyed)
+
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("h")).distinct()
-    places = nodes.select("h", "first.doc_id", "first.line_no").join(wanted.hint("merge"), "h", "left_semi")
-    found = texts.join(places.hint("merge"), "doc_id").select("h", F.get(F.split("text", "\n"), F.col("line_no")).alias("line")).groupBy("h").agg(F.min("line").alias("line"))
+    places = nodes.select("h", "first.doc_id", "first.line_no", "first.t").join(wanted.hint("merge"), "h", "left_semi")
+    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("t"))
+    found = texts.join(places, ["doc_id", "t"]).select("h", F.get(F.split("text", "\n"), F.col("line_no")).alias("line")).groupBy("h").agg(F.min("line").alias("line"))
     found = materialize(found, "line-texts")
     both = pairs.join(found.select(F.col("h").alias("u"), F.col("line").alias("a")), "u").join(found.select(F.col("h").alias("v"), F.col("line").alias("b")), "v")
     limit = F.when(F.least(F.char_length("a"), F.char_length("b")) >= LIMITS[EDITS], EDITS).otherwise(1)
-    links = both.where(banded_distance("a", "b") <= limit).select("u", "v")
+    links = materialize(both.where(banded_distance("a", "b") <= limit).select("u", "v"), "line-links")
+    discard(found)
     groups = materialize(connected_components(links), "line-groups")
 
     known = nodes.select("h", "h2", "first", "n").join(groups, nodes.h == groups.node, "left").select("h", "h2", "first", "n", F.coalesce("component", "h").alias("c"))
     heads = known.groupBy("c").agg(F.min("first").alias("head"), F.sum("n").alias("all")).where(F.col("all") > 1)
     repeated = known.join(heads.hint("merge"), "c").select("h", "h2", "head").hint("merge")
-    again = lines.select("doc_id", "line_no", F.xxhash64("line").alias("h"), F.hash("line").alias("h2")).join(repeated, ["h", "h2"])
-    return again.where(~((F.col("doc_id") == F.col("head.doc_id")) & (F.col("line_no") == F.col("head.line_no")))).select("doc_id", "line_no").distinct()
+    again = lines.select("doc_id", "t", "line_no", F.xxhash64("line").alias("h"), F.hash("line").alias("h2")).join(repeated, ["h", "h2"])
+    here = (F.col("doc_id") == F.col("head.doc_id")) & (F.col("line_no") == F.col("head.line_no")) & (F.col("t") == F.col("head.t"))
+    return again.where(~here).select("doc_id", "t", "line_no").distinct()
 
 
 def without_duplicate_lines(docs: DataFrame) -> DataFrame:
     """docs with the duplicate lines taken out of text, and n_lines, n_dropped (long)."""
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    gone = materialize(line_duplicates(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")), "lines-gone")
-    rows = docs.select(*own).join(gone.withColumnRenamed("doc_id", "_id").hint("merge"), F.col("doc_id") == F.col("_id"), "left")
+    gone = materialize(line_duplicates(docs).groupBy("doc_id", "t").agg(F.collect_set("line_no").alias("_gone")), "lines-gone")
+    gone = gone.select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), "_gone")
+    rows = docs.select(*own).join(gone.hint("merge"), (F.col("doc_id") == F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_t")), "left")
     split = F.split("text", "\n")
     kept = F.filter(split, lambda x, i: ~F.array_contains("_gone", i))
     rows = rows.withColumn("n_lines", F.coalesce(F.size(F.when(F.col("text").isNotNull(), split)), F.lit(0)).cast("long"))
