@@ -55,19 +55,21 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
-def named_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, d, text of the rows with an id and a text; d (long) names the text.
+def named_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(d, text) of the rows with an id and a text, and (d, doc_id) where d isn't the id itself.
 
-    d is the id itself, but where one id has different texts it is a hash of both,
-    so each text is a document of its own.
+    d (long) names a text: its id, but where one id has different texts a hash of
+    both, so that each text is a document of its own. Without such ids there are no names.
     """
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     h = texts.select("doc_id", F.xxhash64("text").alias("t")).groupBy("doc_id").agg(F.min("t").alias("low"), F.max("t").alias("high"))
     several = materialize(h.where("low <> high").select("doc_id"), "several-texts")
     if several.isEmpty():
-        return texts.select("doc_id", F.col("doc_id").alias("d"), "text")
+        return texts.select(F.col("doc_id").alias("d"), "text"), None
     marked = texts.join(several.withColumn("_several", F.lit(True)), "doc_id", "left")
-    return marked.select("doc_id", F.when(F.col("_several"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id")).alias("d"), "text")
+    marked = marked.select("doc_id", F.when(F.col("_several"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id")).alias("d"), "text")
+    names = materialize(marked.select("d", "doc_id").distinct(), "names")
+    return marked.select("d", "text"), names
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

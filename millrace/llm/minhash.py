@@ -4,18 +4,25 @@ Every text's distinct word shingles give 40 b-bit MinHash values (16 bits
 each). The signature is split into 8 chunks of 5 values; by pigeonhole, two
 signatures that differ in at most 15 values differ in at most one value of
 some chunk, so indexing each chunk with each one of its values left out (40
-keys a text) meets *every* such pair. At Jaccard 0.85 a pair stays beyond that
-distance with probability 6e-7, at 0.8 with 2e-5. Pairs that meet and are within the distance
-are confirmed on their full shingle sets.
+keys a text) meets *every* such pair, and most pairs beyond: at Jaccard 0.85 a
+pair meets on no key with probability 6e-7, at 0.8 with 2e-5. Pairs that meet and
+differ in at most ``DISTANCE`` values (a pair at 0.85 differs in more with
+probability 1e-11, at 0.8 with 6e-9) are confirmed on their full shingle sets.
+The rule is the same for buckets of all sizes.
 
 Texts with equal shingle sets are one node. Buckets of up to ``SMALL`` texts
-give their pairs; a larger bucket is cut into blocks whose pairs of blocks are
-compared inside tasks with one sparse product each, which return a spanning
-forest of the links they find, so no pair is dropped and none is written out.
+give their pairs. In a larger one every text first meets one representative,
+the same for all buckets that share it, so a cluster of n copies costs about n pairs
+however many keys it shares. Texts that are linked then needn't meet each other; those
+outside the representative's component are compared with all texts of the
+bucket in blocks, by signature alone, and only pairs of different components
+within the distance go on to their full sets. No pair is dropped.
 
 Edge cases: a null, empty or blank text has an empty set, links with nothing
 and is kept. A null id links with nothing, its component is null, kept is
-true. Rows repeated with the same id and text share one result each. Texts of
+true. Rows repeated with the same id and text share one result each; different
+texts of one id are compared as documents of their own, and a component is named
+by its least id. Ties go by id. An empty table gives an empty result. Texts of
 any length are read whole. Other columns are ignored.
 """
 
@@ -29,12 +36,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import connected_components, materialize, spread, table
+from .common import connected_components, discard, materialize, table
 
 CHUNKS, PER_CHUNK = 8, 5
 LANES = CHUNKS * PER_CHUNK
-#: Values in which two signatures may differ: one error a chunk at most in one chunk at least.
-DISTANCE = 2 * CHUNKS - 1
+#: Values in which the signatures of a pair may differ. All pairs up to 2 * CHUNKS - 1 meet by pigeonhole, those beyond by chance.
+DISTANCE = 24
 SMALL, BLOCK = 48, 512
 
 _rng = np.random.default_rng(20240501)
@@ -46,8 +53,8 @@ _S = [f"s{i}" for i in range((LANES + 3) // 4)]
 def _signatures(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for i, j, keys, offs in W.text_shingles(batch.column(1), k):
+            ids, marks = batch.column(0), batch.column(1)
+            for i, j, keys, offs in W.text_shingles(batch.column(2), k):
                 n = np.diff(offs)
                 some = np.flatnonzero(n)
                 at = offs[:-1][some]
@@ -64,9 +71,9 @@ def _signatures(k: int):
                     sums[1, some] = np.add.reduceat(W.mix(v), at)
                 packed = lanes.reshape(j - i, len(_S), 4)
                 packed = packed[:, :, 0] | packed[:, :, 1] << np.uint64(16) | packed[:, :, 2] << np.uint64(32) | packed[:, :, 3] << np.uint64(48)
-                cols = [ids.slice(i, j - i), pa.array(n.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in sums)]
+                cols = [ids.slice(i, j - i), marks.slice(i, j - i), pa.array(n.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in sums)]
                 cols += [pa.array(np.ascontiguousarray(packed[:, c]).view(np.int64)) for c in range(len(_S))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "f1", "f2", *_S])
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "t", "n_shingles", "f1", "f2", *_S])
 
     return run
 
@@ -120,89 +127,95 @@ def _confirm(k: int, percent: int):
     return run
 
 
-def link_forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the texts whose shingle sets are given: all components, one link less than texts in each."""
-    size = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), size)
-    values, code, often = np.unique(np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)
-    keep = often[code] > 1
-    code, owner = code[keep], owner[keep]
-    alive, code = np.unique(code, return_inverse=True)
-    common = np.zeros((len(sets), len(sets)), np.float32)
-    for lo in range(0, len(alive), 4096):
-        part = (code >= lo) & (code < lo + 4096)
-        m = np.zeros((len(sets), 4096), np.float32)
-        m[owner[part], code[part] - lo] = 1
-        common += m @ m.T
-    common = common.astype(np.int64)
-    linked = (100 * common >= percent * (size[:, None] + size[None, :] - common)) & (size[:, None] > 0) & (size[None, :] > 0)
-    seen, out = np.zeros(len(sets), bool), []
-    for root in range(len(sets)):
-        stack = [] if seen[root] else [root]
-        seen[root] = True
-        while stack:
-            x = stack.pop()
-            for y in np.flatnonzero(linked[x] & ~seen):
-                seen[y] = True
-                out.append((x, int(y)))
-                stack.append(int(y))
-    return out
-
-
-def _tile(k: int, percent: int):
+def _tile():
     import pandas as pd
 
     def run(pdf):
-        pdf = pdf.drop_duplicates("id").sort_values("id")
-        ids = pdf["id"].to_numpy()
-        sets = []
-        for _, _, keys, offs in W.text_shingles(pa.array(pdf["text"], pa.large_string()), k):
-            keys = keys & np.uint64((1 << 52) - 1)
-            sets += [keys[offs[x] : offs[x + 1]] for x in range(len(offs) - 1)]
-        links = link_forest(sets, percent)
-        return pd.DataFrame({"u": [ids[x] for x, _ in links], "v": [ids[y] for _, y in links]}, columns=["u", "v"]).astype("int64")
+        """Pairs of one tile, within the distance and of different components, one side outside the representative's."""
+        pdf = pdf.drop_duplicates(["id", "own"]).sort_values(["own", "id"])
+        ids, comp, own, out = (pdf[c].to_numpy() for c in ("id", "comp", "own", "outside"))
+        lanes = np.ascontiguousarray(pdf[_S].to_numpy(np.int64)).view(np.uint16)
+        two, pairs = bool(pdf["two"].iloc[0]), []
+        for x in np.flatnonzero(out):
+            others = (comp != comp[x]) & ((own != own[x]) if two else (np.arange(len(ids)) > x) | ~out)
+            at = np.flatnonzero(others)
+            near = at[(lanes[at] != lanes[x]).sum(axis=1) <= DISTANCE]
+            pairs += [(min(ids[x], ids[y]), max(ids[x], ids[y])) for y in near.tolist()]
+        return pd.DataFrame(sorted(set(pairs)), columns=["u", "v"]).astype("int64")
 
     return run
 
 
+def _tiles(many: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFrame:
+    """Rows of the tiles in which the texts outside their bucket's main component meet all others of the bucket."""
+    placed = many.join(comps, many.id == comps.node, "left").withColumn("comp", F.coalesce("component", "id"))
+    main = reps.select("key", F.col("rep.id").alias("rep")).join(comps, F.col("rep") == comps.node, "left").select("key", F.coalesce("component", "rep").alias("main"))
+    placed = placed.join(main, "key").withColumn("outside", F.col("comp") != F.col("main"))
+    sizes = placed.groupBy("key").agg(F.sum(F.col("outside").cast("long")).alias("n_out"), F.count(F.lit(1)).alias("n_all")).where("n_out > 0")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(BLOCK))).cast("int")
+    rows = placed.join(sizes, "key").select("key", "id", *_S, "comp", "outside", blocks(F.col("n_out")).alias("outs"), blocks(F.col("n_all") - F.col("n_out")).alias("ins"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("outside"), F.col("outs")).otherwise(F.col("ins"))).cast("int"))
+    one = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    among = F.transform(F.sequence(F.lit(0), F.col("outs") - 1), lambda o: one(0, F.least("own", o), F.greatest("own", o)))
+    with_in = F.transform(F.sequence(F.lit(0), F.col("ins") - 1), lambda o: one(1, F.col("own"), o))
+    from_in = F.transform(F.sequence(F.lit(0), F.col("outs") - 1), lambda o: one(1, o, F.col("own")))
+    rows = rows.select("key", "id", *_S, "comp", "outside", "own", F.explode(F.when(F.col("outside"), F.concat(among, with_in)).otherwise(from_in)).alias("t"))
+    # In a tile of outer and inner texts the two kinds are its sides; in a tile of outer blocks, the blocks are.
+    side = F.when(F.col("t.kind") == 1, F.col("outside").cast("int")).otherwise(F.col("own"))
+    two = (F.col("t.kind") == 1) | (F.col("t.i") != F.col("t.j"))
+    return rows.select(F.xxhash64("key", "t.kind", "t.i", "t.j").alias("tile"), "id", *_S, "comp", "outside", side.alias("own"), two.alias("two"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Link texts whose k-word shingle sets have 100 * |A & B| >= percent * |A | B|.
 
     Returns doc_id, n_shingles, component_id, kept: the result described in the
     module's text. percent should be 80 or more: the index is made for that.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n_shingles long, f1 long, f2 long, " + ", ".join(f"{s} long" for s in _S)
-    sigs = materialize(texts.mapInArrow(_signatures(k), schema), "minhash")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
+    schema = "doc_id long, t long, n_shingles long, f1 long, f2 long, " + ", ".join(f"{s} long" for s in _S)
+    sigs = materialize(texts.select("doc_id", "t", "text").mapInArrow(_signatures(k), schema), "minhash")
     same = ["f1", "f2", "n_shingles"]
-    reps = sigs.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("id"), *(F.first(s).alias(s) for s in _S))
-    reps = materialize(reps, "minhash-sets")
+    # A node is a shingle set, named by a hash; its text is that of its least id.
+    reps = sigs.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min(F.struct("doc_id", "t")).alias("m"), *(F.first(s).alias(s) for s in _S))
+    reps = materialize(reps.select(*same, F.xxhash64(*same).alias("id"), F.col("m.doc_id").alias("least"), F.col("m.t").alias("t"), *_S), "minhash-sets")
 
     keyed = reps.select("id", *_S, F.explode(index_keys()).alias("key"))
     often = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialize(keyed.join(often.hint("merge"), "key").select("key", "n", "id", *_S), "minhash-buckets")
 
-    # Buckets of bounded size: their pairs, within the signature distance, once each.
+    # Buckets of bounded size: their pairs, once each. Larger ones: each text with one representative, the same in all its buckets.
+    pair = [F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")]
     few = members.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("id", *_S)).alias("m"))
     pairs = few.select(F.col("m"), F.posexplode("m").alias("i", "a")).select("a", F.explode(F.slice("m", F.col("i") + 2, SMALL)).alias("b"))
-    pairs = pairs.where(_differing("a", "b") <= DISTANCE).select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct()
-    pairs = materialize(pairs, "minhash-pairs")
-
-    # Larger ones: blocks by a hash of the id, and a task for each two blocks.
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    many = members.where(F.col("n") > SMALL).select("key", "id", F.lit(0).alias("z"), blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own"))
-    tiles = many.select("key", "id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    tiles = materialize(tiles.select("id", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("tile")), "minhash-tiles")
-
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).unionByName(tiles.select(F.col("id").alias("doc_id"))).distinct()
-    some = texts.join(wanted.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    some = materialize(some, "minhash-texts")
-    links = pairs.join(some.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), "u").join(some.select(F.col("doc_id").alias("v"), F.col("text").alias("tv")), "v")
-    links = links.select("u", "v", "tu", "tv").mapInArrow(_confirm(k, percent), "u long, v long")
-    inner = tiles.join(some, tiles.id == some.doc_id).select("tile", "id", "text").groupBy("tile").applyInPandas(_tile(k, percent), "u long, v long")
-    comps = connected_components(links.unionByName(inner))
-
-    classes = reps.join(comps, reps.id == comps.node, "left").select(*same, F.coalesce("component", "id").alias("c"))
+    many = members.where(F.col("n") > SMALL)
+    reps_of = materialize(many.groupBy("key").agg(F.min(F.struct(F.hash("id").alias("order"), "id", *_S)).alias("rep")), "minhash-representatives")
+    stars = many.join(reps_of, "key").where(F.col("id") != F.col("rep.id")).select(F.struct("id", *_S).alias("a"), F.col("rep").alias("b"))
+    near = _differing("a", "b") <= DISTANCE
+    pairs = materialize(pairs.where(near).select(*pair).unionByName(stars.where(near).select(*pair)).distinct(), "minhash-pairs")
+
+    def confirmed(some: DataFrame) -> DataFrame:
+        wanted = reps.select("id", "least", "t").join(some.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "id", "left_semi")
+        found = texts.join(wanted.select(F.col("least").alias("doc_id"), "t", "id").hint("merge"), ["doc_id", "t"]).groupBy("id").agg(F.min("text").alias("text"))
+        found = materialize(found, "minhash-texts")
+        one, two = (found.select(F.col("id").alias(x), F.col("text").alias(f"t{x}")) for x in "uv")
+        out = some.join(two, "v").join(one, "u").select("u", "v", "tu", "tv").mapInArrow(_confirm(k, percent), "u long, v long")
+        out = materialize(out, "minhash-links")
+        discard(found)
+        return out
+
+    links = confirmed(pairs)
+    comps = connected_components(links)
+    if not reps_of.isEmpty():
+        tiles = _tiles(many, reps_of, comps)
+        more = materialize(tiles.groupBy("tile").applyInPandas(_tile(), "u long, v long").distinct(), "minhash-pairs")
+        if not more.isEmpty():
+            comps = connected_components(links.unionByName(confirmed(more)))
+    discard(members)
+
+    classes = reps.join(comps, reps.id == comps.node, "left").select(*same, "least", F.coalesce("component", "id").alias("node"))
+    named = classes.groupBy("node").agg(F.min("least").alias("c"))
+    classes = classes.join(named, "node").select(*same, "c")
     out = sigs.select("doc_id", *same).join(classes, same, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -8,9 +8,11 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.llm import catalog, chains, lines, minhash, mixing, pages, pieces, pii, quality, suffixes, vectors
+from millrace.llm.seeds import over_neighbours
 from tests.llm.conftest import words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -188,13 +190,15 @@ def test_repeated_passages_are_exact(docs, texts):
     assert got == dict(cover)
 
 
-def test_suffix_neighbours_over_task_borders():
-    edges = []
-    for part in range(3):
-        for edge in (0, 1):
-            edges.append({"part": part, "edge": edge, "h": 5, "doc_id": part * 2 + edge, "pos": 0, "right": (np.arange(suffixes.RIGHT) + 1).astype(">u2").tobytes(), "left": np.zeros(suffixes.LEFT, ">u2").tobytes()})
-    found = suffixes._over_edges(edges)
-    assert {(d, o) for d, _, _, o in found} >= {(1, 2), (2, 1), (3, 4), (4, 3)}
+def test_neighbours_over_task_borders(spark):
+    def compare(rows):
+        h, d = (np.asarray(rows.column(c)) for c in ("h", "d"))
+        at = np.flatnonzero(h[1:] == h[:-1])
+        return pa.RecordBatch.from_arrays([pa.array(d[at]), pa.array(d[at + 1])], ["a", "b"])
+
+    rows = spark.createDataFrame([(5, i) for i in range(3000)] + [(6, 1), (7, 2), (7, 3)], "h long, d long")
+    got = {(r.a, r.b) for r in over_neighbours(rows, ["h", "d"], 1, compare, "a long, b long", "test").collect()}
+    assert got >= {(i, i + 1) for i in range(2999)} | {(2, 3)} and (2999, 1) not in got and (1, 2) in got
 
 
 def test_fuzzy_passages(make):

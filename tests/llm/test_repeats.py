@@ -39,9 +39,132 @@ def test_lines_of_a_hot_template(make):
 
     for i in range(len(texts)):
         for j in range(i):
-            if abs(len(texts[i]) - len(texts[j])) <= 2 and sum(x != y for x, y in zip(texts[i][13:20], texts[j][13:20], strict=True)) <= 4 and _distance(texts[i], texts[j]) <= 2:
+            if abs(len(texts[i]) - len(texts[j])) <= 2 and sum(abs(texts[i].count(c) - texts[j].count(c)) for c in "0123456789sh") <= 4 and _distance(texts[i], texts[j]) <= 2:
                 a, b = sorted((find(i), find(j)))
                 head[b] = a
     want = {rows[i][0] for i in range(len(rows)) if find(i) == i}
     got = {r.doc_id for r in lines.without_duplicate_lines(make(rows)).collect() if r.n_dropped == 0}
     assert got == want
+
+
+def _links(texts, k, percent):
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set()))
+    head = list(range(len(texts)))
+
+    def find(x):
+        while head[x] != x:
+            x = head[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                head[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("changed", [3, 7, 11])
+def test_large_buckets_of_near_copies(make, monkeypatch, changed):
+    """Copies around the threshold, among them pairs that are near only through others, in buckets of many blocks."""
+    monkeypatch.setattr(minhash, "SMALL", 6)
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    rng = random.Random(changed)
+    base, rows = words(rng, 200, 10_000), []
+    for i in range(150):
+        copy = list(base)
+        for at in rng.sample(range(200), rng.randrange(changed + 1)):
+            copy[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    rows += [(500 + i, " ".join(words(rng, 150, 10_000))) for i in range(20)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(make(rows), k=3, percent=85).collect()}
+    want = _links([t for _, t in rows], 3, 85)
+    assert got == {rows[i][0]: rows[want[i]][0] for i in range(len(rows))}
+
+
+def test_two_texts_of_one_id_are_compared_apart(make):
+    rng = random.Random(9)
+    one, two = (" ".join(words(rng, 100)) for _ in range(2))
+    rows = minhash.near_duplicates(make([(5, one), (5, two), (3, one + " more"), (7, two + " more")])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in rows) == [(3, 3), (5, 3), (5, 5), (7, 5)]
+
+
+def _mutated(rng, passage, share):
+    return [f"x{rng.randrange(10**6)}" if rng.random() < share else w for w in passage]
+
+
+def _filler(rng, n=40):
+    return words(rng, n, 10**6)
+
+
+def test_passage_whose_halves_are_frequent(make):
+    rng = random.Random(21)
+    one, two = words(rng, 40, 10**6), words(rng, 40, 10**6)
+    rows = [(i, " ".join(_filler(rng) + one + two + _filler(rng))) for i in (50, 51)]
+    for k, half in enumerate((one, two)):
+        rows += [(i, " ".join(_filler(rng) + half + _filler(rng))) for i in [*range(10 + 5 * k, 14 + 5 * k), *range(90 + 5 * k, 94 + 5 * k)]]
+    got = {r.doc_id: {p for s in r.spans for p in range(s.start, s.end)} for r in chains.fuzzy_passages(make(rows)).collect()}
+    assert set(got) == {50, 51} and all(len(p & set(range(40, 120))) >= 78 for p in got.values())
+
+
+@pytest.mark.parametrize(("length", "quote"), [(60, 20), (60, 24), (80, 24), (120, 30)])
+def test_passage_whose_parts_are_quoted(make, length, quote):
+    """Every whole copy is found although each part has places of lower and higher ids."""
+    rng = random.Random(length + quote)
+    rows, whole = [], {}
+    for c in range(8):
+        passage = words(rng, length, 10**6)
+        quotes = [passage[i : i + quote] for i in range(0, length - quote + 1, quote // 2)]
+        ids = list(range(1000 * c, 1000 * c + 11 + 2 * len(quotes)))
+        for i, q in zip(ids[: len(quotes)] + ids[-len(quotes) :], quotes * 2, strict=True):
+            rows.append((i, " ".join(_filler(rng) + q + _filler(rng))))
+        for i in ids[len(quotes) : -len(quotes)]:
+            rows.append((i, " ".join(_filler(rng) + passage + _filler(rng))))
+            whole[i] = c
+    got = {r.doc_id: r for r in chains.fuzzy_passages(make(rows)).collect()}
+    assert set(got) == set(whole)
+    assert all(len({r.component_id for i, r in got.items() if whole[i] == c}) == 1 for c in range(8))
+
+
+@pytest.mark.parametrize(("length", "share", "least"), [(60, 0.0, 1.0), (60, 0.05, 0.95), (80, 0.05, 0.97), (80, 0.1, 0.85), (120, 0.1, 0.95)])
+def test_recall_of_fuzzy_pairs(make, length, share, least):
+    """Of pairs whose copies are alike enough by their common words, the share found."""
+    rng = random.Random(int(length + 100 * share))
+    rows, pairs = [], []
+    for c in range(60):
+        passage = words(rng, length, 10**6)
+        copy = _mutated(rng, passage, share)
+        inner = [i for i in range(length) if passage[i] == copy[i]]
+        if inner[-1] - inner[0] + 1 < 50 or len(inner) < 0.85 * length:
+            continue
+        pairs.append(2 * c)
+        rows += [(2 * c, " ".join(_filler(rng) + passage + _filler(rng))), (2 * c + 1, " ".join(_filler(rng, 25) + copy + _filler(rng)))]
+    got = {r.doc_id: r.component_id for r in chains.fuzzy_passages(make(rows)).collect()}
+    found = sum(got.get(i) == i and got.get(i + 1) == i for i in pairs) / len(pairs)
+    print(f"recall {length} words, {share} changed: {found:.3f} of {len(pairs)}")
+    assert found >= least
+
+
+def test_passages_around_a_frequent_phrase(make):
+    """Pairs that agree to the left of a 16-word phrase that very many texts hold, each with words of its own after it."""
+    rng = random.Random(31)
+    phrase, rows, cover = words(rng, 16, 10**6), [], {}
+    for c in range(60):
+        left = words(rng, 36, 10**6)
+        for i in (c, 500 + c):
+            rows.append((i, " ".join(_filler(rng, 30) + left + phrase + _filler(rng, 60))))
+            cover[i] = set(range(30, 82))
+    rng.shuffle(rows)
+    got = {r.doc_id: {p for s in r.spans for p in range(s.start, s.end)} for r in suffixes.repeated_passages(make(rows)).collect()}
+    assert got == cover
+
+
+def test_passages_in_two_texts_of_one_id(make):
+    rng = random.Random(41)
+    one, two = words(rng, 60, 10**6), words(rng, 60, 10**6)
+    rows = [(5, " ".join(one + _filler(rng))), (5, " ".join(two + _filler(rng))), (3, " ".join(_filler(rng) + one)), (9, " ".join(_filler(rng) + two))]
+    for op in (chains.fuzzy_passages, suffixes.repeated_passages):
+        assert sorted((r.doc_id, r.component_id) for r in op(make(rows)).collect()) == [(3, 3), (5, 3), (5, 5), (9, 5)]
