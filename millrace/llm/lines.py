@@ -39,57 +39,46 @@ EDITS, SHORTEST = 2, 1
 #: From so many characters on, a line may differ from its like by 1 and by 2 edits; shorter ones must be equal.
 LIMITS = {1: 10, 2: 20}
 #: Letters whose counts, modulo 16, make a line's sketch; one edit changes two counts by one at most.
-LETTERS = "etaonihrsdulg"
+LETTERS = "etaonirs"
 #: The same for the digits, in which the lines of one template differ.
 DIGITS = "0123456789"
 
 
-def _begin(length, i: int, edits: int):
-    """0-based start of segment i of a line of that length; the longer segments come last."""
-    m = edits + 1
-    return F.expr(f"{i} * ({length} div {m}) + greatest(0, {i} - ({m} - {length} % {m}))")
-
-
-def _segment_key(length: str, i: int, shift: int, edits: int):
-    size = _begin(length, i + 1, edits) - _begin(length, i, edits)
-    return F.xxhash64(F.expr(length), F.lit(i), F.substring("line", _begin(length, i, edits) + F.lit(shift) + 1, size))
-
-
 def _places(edits: int, less: int) -> list[tuple[int, int]]:
     """(segment, shift) that a line probes for lines shorter by less, by both bounds on the shift."""
     bounds = [(i, max(-i, less - (edits - i)), min(i, less + (edits - i))) for i in range(edits + 1)]
     return [(i, shift) for i, low, high in bounds for shift in range(low, high + 1)]
 
 
-def probe_keys() -> tuple[list, list[tuple[int, list[tuple[int, bool]]]]]:
-    """Hashes of the substrings that may equal a segment of a line shorter by 0 to EDITS characters; null where the
-    shorter line's limit asks for fewer. For each segment: which of them is the line's own, and which probe for it
-    (and whether for lines of the same length)."""
-    out, own, probes = [], {}, {}
+def with_segments(lines: DataFrame) -> DataFrame:
+    """lines (line, n) with what its segments hang on, for lines shorter by 0 to EDITS characters: their length, the
+    shorter segments' size, and how many are of that size; and the line's characters in four bytes each."""
     for less in range(EDITS + 1):
-        length = f"(n - {less})"
-        fewer = _places(1, less) if less <= 1 else []
-        most = _places(EDITS, less)
+        parts = f"if(n - {less} >= {LIMITS[EDITS]}, {EDITS + 1}, 2)"
+        lines = lines.withColumn(f"l{less}", F.expr(f"n - {less}")).withColumn(f"q{less}", F.expr(f"(n - {less}) div {parts}")).withColumn(f"r{less}", F.expr(f"cast({parts} - pmod(n - {less}, {parts}) as int)"))
+    return lines.withColumn("wide", F.encode("line", "UTF-32"))
+
+
+def probe_keys() -> list[tuple[str, int, int, bool, bool]]:
+    """(SQL, segment, least length of the line, for lines of its length, its own segment) of the hashes of substrings of
+    a line that may equal a segment of a line shorter by 0 to EDITS characters. All code is plain and short: the
+    Java compiler leaves long methods uncompiled."""
+    out = []
+    for less in range(EDITS + 1):
+        fewer, most = _places(1, less) if less <= 1 else [], _places(EDITS, less)
         if not set(fewer) <= set(most):
             raise ValueError("the places of a smaller limit must be among those of the larger")
+        begin = lambda i: f"({i} * q{less} + greatest(0, {i} - r{less}))"  # noqa: B023, E731
         for i, shift in most:
-            key = F.when(F.expr(length) >= LIMITS[EDITS], _segment_key(length, i, shift, EDITS))
-            if (i, shift) in fewer:
-                key = key.when(F.expr(length) >= LIMITS[1], _segment_key(length, i, shift, 1))
-            if not less and not shift:
-                own[i] = len(out)
-            probes.setdefault(i, []).append((len(out), not less))
-            out.append(key)
-    return out, [(own[i], probes[i]) for i in sorted(own)]
+            hashed = f"xxhash64(l{less}, {i}, substring(wide, cast(4 * ({begin(i)} + {shift}) + 1 as int), cast(4 * ({begin(i + 1)} - {begin(i)}) as int)))"
+            out.append((hashed, i, less + LIMITS[1 if (i, shift) in fewer else EDITS], not less, not less and not shift))
+    return out
 
 
 def sketch(chars: str):
     """Counts of chars in line, modulo 16, packed into one number of four bits each."""
-    total = F.lit(0).cast("long")
-    for i, c in enumerate(chars):
-        n = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(c), F.lit("")))
-        total = total.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(15)).cast("long"), 4 * i))
-    return total
+    count = lambda c: (F.octet_length("line") - F.octet_length(F.replace("line", c, F.lit("")))).bitwiseAND(F.lit(15)).cast("long")
+    return F.aggregate(F.array(*(F.lit(c) for c in reversed(chars))), F.lit(0).cast("long"), lambda total, c: F.shiftleft(total, 4).bitwiseOR(count(c)))
 
 
 def _sketches_apart(a, b, chars: str):
@@ -152,14 +141,16 @@ def _lines(docs: DataFrame) -> DataFrame:
     return every.where(F.length("line") >= SHORTEST).where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("n", F.length("line"))
 
 
-def _near_pairs(keyed: DataFrame, names: list[str], segments: list[tuple[str, list[tuple[str, bool]]]]) -> DataFrame:
+def _near_pairs(keyed: DataFrame) -> DataFrame:
     """Pairs (u, v) of line hashes that share a segment's key and have counts near enough."""
-    found = []
-    for own, probes in segments:
-        left = keyed.select("h", "s", "g", F.col(own).alias("key")).where("key is not null")
-        probe = F.array(*(F.struct(F.col(n).alias("key"), F.lit(equal).alias("equal")) for n, equal in probes))
-        right = keyed.select(F.col("h").alias("other"), F.col("s").alias("s2"), F.col("g").alias("g2"), F.explode(probe).alias("p"))
-        right = right.select("other", "s2", "g2", F.col("p.key").alias("key"), F.col("p.equal").alias("equal")).where("key is not null").hint("merge")
+    probes, found = probe_keys(), []
+    for segment in range(EDITS + 1):
+        here = [(f"p{x}", least, equal, own) for x, (_, i, least, equal, own) in enumerate(probes) if i == segment]
+        (own, shortest), = [(name, least) for name, least, _, mine in here if mine]
+        left = keyed.where(F.col("n") >= shortest).select("h", "s", "g", F.col(own).alias("key"))
+        probe = F.array(*(F.struct(F.col(name).alias("key"), F.lit(equal).alias("equal"), F.lit(least).alias("least")) for name, least, equal, _ in here))
+        right = keyed.select(F.col("h").alias("other"), F.col("s").alias("s2"), F.col("g").alias("g2"), "n", F.explode(probe).alias("p")).where(F.col("n") >= F.col("p.least"))
+        right = right.select("other", "s2", "g2", F.col("p.key").alias("key"), F.col("p.equal").alias("equal")).hint("merge")
         # Lines of one length would meet in both directions: the probe at its own length takes only smaller partners.
         one_way = (F.col("h") < F.col("other")) | (~F.col("equal") & (F.col("h") != F.col("other")))
         counts = _sketches_apart(F.col("s"), F.col("s2"), LETTERS) + _sketches_apart(F.col("g"), F.col("g2"), DIGITS)
@@ -174,15 +165,15 @@ def _near_pairs(keyed: DataFrame, names: list[str], segments: list[tuple[str, li
 def line_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, t (hash of the text), line_no (from 0) of the lines that a group's earlier line makes needless."""
     lines = _lines(docs)
-    probes, segments = probe_keys()
-    names = [f"p{x}" for x in range(len(probes))]
     digits = F.when(F.col("line").rlike("[0-9]"), sketch(DIGITS)).otherwise(F.lit(0).cast("long"))
-    hashed = lines.select("doc_id", "t", "line_no", F.xxhash64("line").alias("h"), F.hash("line").alias("h2"), sketch(LETTERS).alias("s"), digits.alias("g"), *(c.alias(n) for c, n in zip(probes, names, strict=True)))
+    probes = [F.expr(c).alias(f"p{x}") for x, (c, *_) in enumerate(probe_keys())]
+    hashed = with_segments(lines).select("doc_id", "t", "line_no", "n", F.xxhash64("line").alias("h"), F.hash("line").alias("h2"), sketch(LETTERS).alias("s"), digits.alias("g"), *probes)
     # Equal lines are one row; doc_id, line_no and t of the first tell where it is.
-    same = hashed.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "line_no", "t")).alias("first"), F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("s", "g", *names)))
+    values = ["n", "s", "g", *(f"p{x}" for x in range(len(probes)))]
+    same = hashed.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "line_no", "t")).alias("first"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in values))
     keyed = materialize(same, "line-keys")
-    nodes = materialize(keyed.select("h", "h2", "first", "n"), "lines")
-    pairs = materialize(_near_pairs(keyed, names, [(names[own], [(names[x], equal) for x, equal in probes]) for own, probes in segments]), "line-pairs")
+    nodes = materialize(keyed.select("h", "h2", "first", "copies"), "lines")
+    pairs = materialize(_near_pairs(keyed), "line-pairs")
     discard(keyed)
 
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("h")).distinct()
@@ -196,8 +187,8 @@ def line_duplicates(docs: DataFrame) -> DataFrame:
     discard(found)
     groups = materialize(connected_components(links), "line-groups")
 
-    known = nodes.select("h", "h2", "first", "n").join(groups, nodes.h == groups.node, "left").select("h", "h2", "first", "n", F.coalesce("component", "h").alias("c"))
-    heads = known.groupBy("c").agg(F.min("first").alias("head"), F.sum("n").alias("all")).where(F.col("all") > 1)
+    known = nodes.join(groups, nodes.h == groups.node, "left").select("h", "h2", "first", "copies", F.coalesce("component", "h").alias("c"))
+    heads = known.groupBy("c").agg(F.min("first").alias("head"), F.sum("copies").alias("all")).where(F.col("all") > 1)
     repeated = known.join(heads.hint("merge"), "c").select("h", "h2", "head").hint("merge")
     again = lines.select("doc_id", "t", "line_no", F.xxhash64("line").alias("h"), F.hash("line").alias("h2")).join(repeated, ["h", "h2"])
     here = (F.col("doc_id") == F.col("head.doc_id")) & (F.col("line_no") == F.col("head.line_no")) & (F.col("t") == F.col("head.t"))
