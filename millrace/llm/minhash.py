@@ -8,15 +8,15 @@ keys a text) meets *every* such pair, and most pairs beyond: at Jaccard 0.85 a
 pair meets on no key with probability 6e-7, at 0.8 with 2e-5. Pairs that meet and
 differ in at most ``DISTANCE`` values (a pair at 0.85 differs in more with
 probability 1e-11, at 0.8 with 6e-9) are confirmed on their full shingle sets.
-The rule is the same for buckets of all sizes.
 
 Texts with equal shingle sets are one node. Buckets of up to ``SMALL`` texts
 give their pairs. In a larger one every text first meets one representative,
 the same for all buckets that share it, so a cluster of n copies costs about n pairs
-however many keys it shares. Texts that are linked then needn't meet each other; those
-outside the representative's component are compared with all texts of the
-bucket in blocks, by signature alone, and only pairs of different components
-within the distance go on to their full sets. No pair is dropped.
+however many keys it shares. Texts that are linked then needn't meet each other.
+Those outside the representative's component are compared with all texts of
+its buckets, taken together, in blocks: a task compares two blocks on their full
+sets and returns a spanning forest of the links it finds between different
+components, so no pair is dropped and none is written out.
 
 Edge cases: a null, empty or blank text has an empty set, links with nothing
 and is kept. A null id links with nothing, its component is null, kept is
@@ -127,43 +127,73 @@ def _confirm(k: int, percent: int):
     return run
 
 
-def _tile():
+def _linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the shingle sets are near enough to one another."""
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, code, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    keep = often[code] > 1
+    alive, code = np.unique(code[keep], return_inverse=True)
+    owner = owner[keep]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, len(alive), 4096):
+        part = (code >= lo) & (code < lo + 4096)
+        m = np.zeros((len(sets), 4096), np.float32)
+        m[owner[part], code[part] - lo] = 1
+        common += m @ m.T
+    common = common.astype(np.int64)
+    return 100 * common >= percent * (size[:, None] + size[None, :] - common)
+
+
+def _tile(k: int, percent: int):
     import pandas as pd
 
     def run(pdf):
-        """Pairs of one tile, within the distance and of different components, one side outside the representative's."""
-        pdf = pdf.drop_duplicates(["id", "own"]).sort_values(["own", "id"])
-        ids, comp, own, out = (pdf[c].to_numpy() for c in ("id", "comp", "own", "outside"))
-        lanes = np.ascontiguousarray(pdf[_S].to_numpy(np.int64)).view(np.uint16)
-        two, pairs = bool(pdf["two"].iloc[0]), []
-        for x in np.flatnonzero(out):
-            others = (comp != comp[x]) & ((own != own[x]) if two else (np.arange(len(ids)) > x) | ~out)
-            at = np.flatnonzero(others)
-            near = at[(lanes[at] != lanes[x]).sum(axis=1) <= DISTANCE]
-            pairs += [(min(ids[x], ids[y]), max(ids[x], ids[y])) for y in near.tolist()]
-        return pd.DataFrame(sorted(set(pairs)), columns=["u", "v"]).astype("int64")
+        """A forest of the links of one tile between different components, one end outside the main one."""
+        pdf = pdf.drop_duplicates("id").sort_values(["own", "id"])
+        ids, comp, own, outer = (pdf[c].to_numpy() for c in ("id", "comp", "own", "outer"))
+        sets = []
+        for _, _, keys, offs in W.text_shingles(pa.array(pdf["text"], pa.large_string()), k):
+            keys = keys & np.uint64((1 << 52) - 1)
+            sets += [keys[offs[x] : offs[x + 1]] for x in range(len(offs) - 1)]
+        linked = _linked(sets, percent) & (comp[:, None] != comp[None, :]) & (outer[:, None] | outer[None, :])
+        if pdf["two"].iloc[0]:
+            linked &= own[:, None] != own[None, :]
+        seen, links = np.zeros(len(ids), bool), []
+        for root in np.flatnonzero(linked.any(axis=1)).tolist():
+            stack = [] if seen[root] else [root]
+            seen[root] = True
+            while stack:
+                x = stack.pop()
+                for y in np.flatnonzero(linked[x] & ~seen).tolist():
+                    seen[y] = True
+                    links.append((ids[x], ids[y]))
+                    stack.append(y)
+        return pd.DataFrame(links, columns=["u", "v"]).astype("int64")
 
     return run
 
 
 def _tiles(many: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFrame:
-    """Rows of the tiles in which the texts outside their bucket's main component meet all others of the bucket."""
-    placed = many.join(comps, many.id == comps.node, "left").withColumn("comp", F.coalesce("component", "id"))
+    """Rows (tile, id, comp, outer, own, two) of the tiles in which the texts outside the main component of their
+    buckets meet all others there; buckets with one main component are taken together."""
     main = reps.select("key", F.col("rep.id").alias("rep")).join(comps, F.col("rep") == comps.node, "left").select("key", F.coalesce("component", "rep").alias("main"))
-    placed = placed.join(main, "key").withColumn("outside", F.col("comp") != F.col("main"))
-    sizes = placed.groupBy("key").agg(F.sum(F.col("outside").cast("long")).alias("n_out"), F.count(F.lit(1)).alias("n_all")).where("n_out > 0")
+    rows = many.select("key", "id").join(main, "key").select("main", "id").distinct()
+    rows = rows.join(comps, rows.id == comps.node, "left").select("main", "id", F.coalesce("component", "id").alias("comp"))
+    rows = rows.withColumn("outer", F.col("comp") != F.col("main"))
+    sizes = rows.groupBy("main").agg(F.sum(F.col("outer").cast("long")).alias("n_out"), F.count(F.lit(1)).alias("n_all")).where("n_out > 0")
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(BLOCK))).cast("int")
-    rows = placed.join(sizes, "key").select("key", "id", *_S, "comp", "outside", blocks(F.col("n_out")).alias("outs"), blocks(F.col("n_all") - F.col("n_out")).alias("ins"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("outside"), F.col("outs")).otherwise(F.col("ins"))).cast("int"))
+    rows = rows.join(sizes, "main").select("main", "id", "comp", "outer", blocks(F.col("n_out")).alias("outs"), blocks(F.col("n_all") - F.col("n_out")).alias("ins"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("outer"), F.col("outs")).otherwise(F.col("ins"))).cast("int"))
     one = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
     among = F.transform(F.sequence(F.lit(0), F.col("outs") - 1), lambda o: one(0, F.least("own", o), F.greatest("own", o)))
     with_in = F.transform(F.sequence(F.lit(0), F.col("ins") - 1), lambda o: one(1, F.col("own"), o))
     from_in = F.transform(F.sequence(F.lit(0), F.col("outs") - 1), lambda o: one(1, o, F.col("own")))
-    rows = rows.select("key", "id", *_S, "comp", "outside", "own", F.explode(F.when(F.col("outside"), F.concat(among, with_in)).otherwise(from_in)).alias("t"))
-    # In a tile of outer and inner texts the two kinds are its sides; in a tile of outer blocks, the blocks are.
-    side = F.when(F.col("t.kind") == 1, F.col("outside").cast("int")).otherwise(F.col("own"))
+    rows = rows.select("main", "id", "comp", "outer", "own", F.explode(F.when(F.col("outer"), F.concat(among, with_in)).otherwise(from_in)).alias("t"))
+    # In a tile of outer and inner texts these are its sides; in a tile of outer blocks, the blocks are.
+    side = F.when(F.col("t.kind") == 1, F.col("outer").cast("int")).otherwise(F.col("own"))
     two = (F.col("t.kind") == 1) | (F.col("t.i") != F.col("t.j"))
-    return rows.select(F.xxhash64("key", "t.kind", "t.i", "t.j").alias("tile"), "id", *_S, "comp", "outside", side.alias("own"), two.alias("two"))
+    return rows.select(F.xxhash64("main", "t.kind", "t.i", "t.j").alias("tile"), "id", "comp", "outer", side.alias("own"), two.alias("two"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -194,23 +224,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     near = _differing("a", "b") <= DISTANCE
     pairs = materialize(pairs.where(near).select(*pair).unionByName(stars.where(near).select(*pair)).distinct(), "minhash-pairs")
 
-    def confirmed(some: DataFrame) -> DataFrame:
-        wanted = reps.select("id", "least", "t").join(some.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "id", "left_semi")
+    def texts_of(ids: DataFrame) -> DataFrame:
+        wanted = reps.select("id", "least", "t").join(ids.distinct().hint("merge"), "id", "left_semi")
         found = texts.join(wanted.select(F.col("least").alias("doc_id"), "t", "id").hint("merge"), ["doc_id", "t"]).groupBy("id").agg(F.min("text").alias("text"))
-        found = materialize(found, "minhash-texts")
-        one, two = (found.select(F.col("id").alias(x), F.col("text").alias(f"t{x}")) for x in "uv")
-        out = some.join(two, "v").join(one, "u").select("u", "v", "tu", "tv").mapInArrow(_confirm(k, percent), "u long, v long")
-        out = materialize(out, "minhash-links")
-        discard(found)
-        return out
-
-    links = confirmed(pairs)
+        return materialize(found, "minhash-texts")
+
+    some = texts_of(pairs.select(F.explode(F.array("u", "v")).alias("id")))
+    one, two = (some.select(F.col("id").alias(x), F.col("text").alias(f"t{x}")) for x in "uv")
+    links = materialize(pairs.join(two, "v").join(one, "u").select("u", "v", "tu", "tv").mapInArrow(_confirm(k, percent), "u long, v long"), "minhash-links")
+    discard(some)
     comps = connected_components(links)
     if not reps_of.isEmpty():
-        tiles = _tiles(many, reps_of, comps)
-        more = materialize(tiles.groupBy("tile").applyInPandas(_tile(), "u long, v long").distinct(), "minhash-pairs")
-        if not more.isEmpty():
-            comps = connected_components(links.unionByName(confirmed(more)))
+        tiles = materialize(_tiles(many, reps_of, comps), "minhash-tiles")
+        inner = texts_of(tiles.select("id"))
+        more = materialize(tiles.join(inner, "id").select("tile", "id", "comp", "outer", "own", "two", "text").groupBy("tile").applyInPandas(_tile(k, percent), "u long, v long"), "minhash-links")
+        discard(inner)
+        comps = connected_components(links.unionByName(more))
     discard(members)
 
     classes = reps.join(comps, reps.id == comps.node, "left").select(*same, "least", F.coalesce("component", "id").alias("node"))
