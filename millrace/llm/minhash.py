@@ -200,7 +200,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """Link texts whose k-word shingle sets have 100 * |A & B| >= percent * |A | B|.
 
     Returns doc_id, n_shingles, component_id, kept: the result described in the
-    module's text. percent should be 80 or more: the index is made for that.
+    module's text; and t, the text's hash, and node, the group's name, which differs even where two groups have one least id. percent should be 80 or more: the index is made for that.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
     schema = "doc_id long, t long, n_shingles long, f1 long, f2 long, " + ", ".join(f"{s} long" for s in _S)
@@ -244,14 +244,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     classes = reps.join(comps, reps.id == comps.node, "left").select(*same, "least", F.coalesce("component", "id").alias("node"))
     named = classes.groupBy("node").agg(F.min("least").alias("c"))
-    classes = classes.join(named, "node").select(*same, "c")
-    out = sigs.select("doc_id", *same).join(classes, same, "left")
+    classes = classes.join(named, "node").select(*same, "c", "node")
+    out = sigs.select("doc_id", "t", *same).join(classes, same, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), "t", "node").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 OP5_SQL = r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),

@@ -14,7 +14,8 @@ a size that a third of all documents share is never ranked as a whole.
 
 Edge cases: a null source is a source of its own, the last; null or blank
 text has size 0 and nothing is taken of it. A source without tokens has target
-0. Documents repeated with one id are chosen together or up to ties. Results
+0. Rows with one id and text are chosen one by one, and so are rows with a null id; ties go by id. An empty table
+gives an empty result; other columns aren't read. Results
 depend on the rows and the seed alone, not on their order or partitions.
 """
 
@@ -86,14 +87,23 @@ def _plan(pdf):
     return pd.DataFrame(rows, columns=["key", "size", "n", "passes", "extra", "source_size", "target"])
 
 
+def row_hash(docs: DataFrame):
+    """A hash of all columns."""
+    return F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """docs (doc_id, source, text) -> doc_id, size, source_size, target, repeats, taken: one row per row."""
+    """docs (doc_id, source, text) -> doc_id, row, size, source_size, target, repeats, taken: one row per row.
+
+    row is a hash of all columns of docs.
+    """
     key = F.coalesce(F.concat(F.lit("="), "source"), F.lit("-"))
     sized = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), "doc_id").alias("h"),
+        F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"),
+        row_hash(docs).alias("row"),
     )
     sized = materialize(sized.withColumn("key", key), "mix-sizes")
     histogram = sized.groupBy("key", "source", "size").agg(F.count(F.lit(1)).alias("n"))
@@ -105,7 +115,7 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
     rows = sized.join(plan, ["key", "size"])
     bucket = F.expr("case when bits = 0 then 0 else shiftrightunsigned(h, 64 - bits) end").cast("int")
-    rows = materialize(rows.select("doc_id", "key", "size", "h", "n", "passes", "extra", "source_size", "target", bucket.alias("bucket")), "mix-rows")
+    rows = materialize(rows.select("doc_id", "row", "key", "size", "h", "n", "passes", "extra", "source_size", "target", bucket.alias("bucket")), "mix-rows")
     part = (F.col("extra") > 0) & (F.col("extra") < F.col("n"))
     some = rows.where(part).groupBy("key", "size", "bucket").agg(F.count(F.lit(1)).alias("m"), F.first("extra").alias("want"))
     upto = F.sum("m").over(Window.partitionBy("key", "size").orderBy("bucket"))
@@ -117,8 +127,8 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     ranked = rows.where(near).withColumn("rank", rank).withColumn("chosen", F.col("rank") <= F.col("room")).drop("rank")
     others = rows.where(~F.coalesce(near, F.lit(False))).withColumn("chosen", (F.col("extra") >= F.col("n")) & (F.col("n") > 0) | F.coalesce(part & (F.col("bucket") < F.col("edge")), F.lit(False)))
     out = ranked.unionByName(others).withColumn("repeats", F.col("passes") + F.col("chosen").cast("int"))
-    return out.select("doc_id", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
+    return out.select("doc_id", "row", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
 def op10_mixing_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).drop("repeats")
+    return mix(table(spark, sf_dir, "documents")).drop("repeats", "row")

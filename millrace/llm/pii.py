@@ -3,7 +3,7 @@
 Base spans (email, ip, card, phone) are fixed patterns with checks and always
 stay. Generators of high recall propose further, overlapping spans: anything
 with an at sign, addresses spelt with (at) and (dot), long runs of digits and
-separators, national numbers and account numbers. Boosted regression trees
+separators, national numbers, account numbers, and long runs of letters and digits (keys, tokens). Boosted regression trees
 score each candidate from features of its format and of the text beside it;
 trees are plain CASE expressions. Scores are calibrated to probabilities on
 held-out examples, and per kind a threshold is chosen there that keeps the wanted
@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 KINDS = ["email", "ip", "card", "phone"]
+#: Kinds that only the method adds.
+MORE = ["account", "identity", "secret"]
 #: Possessive forms of the contract's patterns, which match the same spans in linear time.
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -47,16 +49,18 @@ PROPOSE = {
     "email": ("@", r"(?:\G|(?<=[\x20\n\t<(\[,;:]))[^\x20\n\t<>()\[\],;:@]{1,64}+\x20?@\x20?[^\x20\n\t<>()\[\],;:@]{3,255}+"),
     "spelt": ("dot", r"(?i)[a-z0-9._-]{2,40}\x20?[(\[]\x20?at\x20?[)\]]\x20?[a-z0-9-]{2,40}(?:\x20?[(\[]\x20?dot\x20?[)\]]\x20?[a-z0-9-]{2,20}){1,3}"),
     "number": (None, r"\+?\(?[0-9](?:[\x20()./-]{0,2}[0-9]){6,40}+"),
+    "secret": (None, r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,200}+"),
     "account": (None, r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
 }
 CUES = {
     "call": r"(?i)(?:tel|phone|call|fax|mobile|t[eé]l[eé]phone|tel[eé]fono|telefon|anruf|sms)[^\n]{0,12}$",
     "mail": r"(?i)(?:mail|contact|write to|correo|courriel|kontakt)[^\n]{0,12}$",
     "identity": r"(?i)(?:ssn|social security|national|passport|identity|iban|account|konto|compte|cuenta|steuer)[^\n]{0,14}$",
-    "plain": r"(?i)(?:version|build|chapter|section|page|isbn|order|total|year|no\.|token|id|hash|serial)[^\n]{0,8}$",
+    "plain": r"(?i)(?:version|build|chapter|section|page|isbn|order|total|year|no\.|id|hash|serial|commit|checksum|sha[0-9]*|md5|etag|uuid)[^\n]{0,8}$",
+    "key": r"(?i)(?:token|secret|passw(?:or)?d|pwd|api.?key|access.?key|auth|bearer|credential|private.?key)[^\n]{0,8}$",
 }
 CONTEXT = 28
-EXAMPLES, TREES, DEPTH, RATE, PRECISION = 2400, 40, 3, 0.3, 0.98
+EXAMPLES, TREES, DEPTH, RATE, PRECISION = 3200, 40, 3, 0.3, 0.98
 
 
 def _found(pattern: str, kind: str, hint: str | None) -> Column:
@@ -74,7 +78,7 @@ def _found(pattern: str, kind: str, hint: str | None) -> Column:
 
     begin = F.struct(F.lit(0).alias("at"), gaps.alias("g"), hits.alias("h"), none.alias("out"))
     walk = F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), begin, add, lambda s: s["out"])
-    there = F.contains(text, F.lit(hint)) if hint else F.lit(True)
+    there = F.contains(F.lower(text) if kind == "spelt" else text, F.lit(hint)) if hint else F.lit(True)
     if kind not in ("email", "spelt"):
         there = there & F.col("_digit")
     return F.when(there & text.rlike(pattern), walk).otherwise(none)
@@ -107,7 +111,7 @@ def _passes(kind: str, x: Column) -> Column:
     return F.when((n >= 13) & (n <= 19), _luhn(_digits(m))).otherwise(False)
 
 
-FEATURES = ["kind", "length", "digits", "letters", "seps", "plus", "paren", "dots", "dashes", "spaces", "luhn", "octets", "distinct", "tld", "before", "after", *CUES]
+FEATURES = ["kind", "length", "digits", "letters", "seps", "plus", "paren", "dots", "dashes", "spaces", "luhn", "octets", "distinct", "chars", "upper", "hex", "tld", "before", "after", *CUES]
 
 
 def _features(x: Column) -> Column:
@@ -130,6 +134,9 @@ def _features(x: Column) -> Column:
         yes((F.char_length(d) >= 12) & (F.char_length(d) <= 19) & _luhn(F.left(d, F.lit(19)))),
         yes(m.rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$")),
         F.size(F.array_distinct(F.split(d, ""))).cast("double"),
+        F.size(F.array_distinct(F.split(m, ""))).cast("double"),
+        count("[A-Z]"),
+        yes(m.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")),
         yes(m.rlike(r"(?i)(?:\.|dot\x20?[)\]]\x20?)[a-z]{2,10}$")),
         yes(left.rlike(r"[A-Za-z0-9_#$=\"-]$")),
         yes(right.rlike(r"[A-Za-z0-9_#\"-]")),
@@ -138,10 +145,18 @@ def _features(x: Column) -> Column:
     return F.array(*values)
 
 
+def _name(x: Column) -> Column:
+    """What a candidate is called as a span."""
+    d = _digits(x["m"])
+    card = (F.char_length(d) >= 13) & (F.char_length(d) <= 19) & _luhn(F.left(d, F.lit(19)))
+    number = F.when(x["m"].rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "identity").when(card, "card").otherwise("phone")
+    return F.when(x["kind"] == "spelt", "email").when(x["kind"] == "number", number).otherwise(x["kind"])
+
+
 def candidates() -> Column:
     """All proposals of a text, with their features as f."""
     every = F.concat(*(_found(p, k, hint) for k, (hint, p) in PROPOSE.items()))
-    return F.transform(every, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), _features(x).alias("f")))
+    return F.transform(every, lambda x: F.struct(x["kind"].alias("kind"), _name(x).alias("name"), x["start"].alias("start"), x["end"].alias("end"), _features(x).alias("f")))
 
 
 def _with_text(docs: DataFrame) -> DataFrame:
@@ -157,7 +172,9 @@ def examples(n: int = EXAMPLES, seed: int = 11) -> list[tuple[int, str, int, int
     rng = random.Random(seed)
     words = "the of and report und der les dans para casa value house item north".split()
     digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    run = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
     name = lambda: "".join(rng.choice("bcdfglmnprstv") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
+    local = lambda: rng.choice([name(), f"{name()}.{name()}", f"{name()}{digits(rng.randint(1, 4))}", f"{name()}.{name()}{digits(2)}", f"{name()[0]}_{name()}", f"{name()}-{digits(2)}"])
     tld = lambda: rng.choice(["com", "org", "net", "de", "fr", "es", "io"])
 
     def luhn(k: int, ok: bool) -> str:
@@ -166,11 +183,11 @@ def examples(n: int = EXAMPLES, seed: int = 11) -> list[tuple[int, str, int, int
         return body + str((10 - total % 10 + (0 if ok else rng.randint(1, 9))) % 10)
 
     def private() -> tuple[str, str]:
-        kind = rng.randrange(6)
+        kind = rng.randrange(8)
         if kind == 0:
-            return rng.choice(["mail ", "contact: ", "", "write to "]), f"{name()} @ {name()}.{tld()}" if rng.random() < 0.5 else f"{name()}.{name()}@{name()}é.{tld()}"
+            return rng.choice(["mail ", "contact: ", "", "write to "]), f"{local()} @ {name()}.{tld()}" if rng.random() < 0.5 else f"{local()}@{name()}é.{tld()}"
         if kind == 1:
-            return rng.choice(["mail ", "", "contact "]), f"{name()} (at) {name()} (dot) {tld()}" if rng.random() < 0.5 else f"{name()}[at]{name()}[dot]{tld()}"
+            return rng.choice(["mail ", "", "contact "]), (lambda t: t.upper() if rng.random() < 0.1 else t)(f"{local()} (at) {name()} (dot) {tld()}" if rng.random() < 0.5 else f"{local()}[at]{name()}[dot]{tld()}")
         if kind == 2:
             sep = rng.choice(["-", ".", " "])
             return rng.choice(["tel ", "phone: ", "call ", "fax "]), rng.choice([f"({digits(3)}) {digits(3)}{sep}{digits(4)}", f"{digits(3)}{sep}{digits(3)}{sep}{digits(4)}", f"0{digits(3)}/{digits(7)}"])
@@ -178,11 +195,18 @@ def examples(n: int = EXAMPLES, seed: int = 11) -> list[tuple[int, str, int, int
             return rng.choice(["ssn ", "social security no ", "national "]), f"{digits(3)}-{digits(2)}-{digits(4)}"
         if kind == 4:
             return rng.choice(["iban ", "account ", "konto "]), f"{rng.choice(['DE', 'FR', 'ES', 'GB'])}{digits(2)} " + " ".join(digits(4) for _ in range(4)) + " " + digits(2)
+        if kind >= 6:
+            cue = rng.choice(["token = \"", "api_key: ", "api key ", "password=", "secret: ", "auth token: ", "Authorization: Bearer ", "access_key = ", "", ""])
+            hexa, many = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+            body = rng.choice(["AKIA" + run(many[26:], 16), "ghp_" + run(many, 36), "sk-" + run(many, 40), "xoxb-" + digits(11) + "-" + run(many, 24)])
+            if cue:
+                body = rng.choice([body, run(hexa, rng.choice([32, 40, 64])), run(many, rng.randint(16, 44)), run(hexa, 40).upper()])
+            return (cue.upper() if rng.random() < 0.15 else cue), body
         c = luhn(16, True)
         return rng.choice(["card ", "visa ", "paid with "]), "/".join(c[i : i + 4] for i in range(0, 16, 4))
 
     def harmless() -> tuple[str, str]:
-        kind = rng.randrange(9)
+        kind = rng.randrange(12)
         if kind == 0:
             return rng.choice(["", "user ", "by "]), f"{name()}@{digits(4)}"
         if kind == 1:
@@ -199,6 +223,12 @@ def examples(n: int = EXAMPLES, seed: int = 11) -> list[tuple[int, str, int, int
             return rng.choice(["", "id ", "serial "]), luhn(16, False)
         if kind == 7:
             return rng.choice(["", "serial ", "hash "]), "AB" + digits(2) + " " + " ".join("".join(rng.choice("ABCDEF0123456789") for _ in range(4)) for _ in range(2))
+        if kind == 8:
+            return rng.choice(["commit ", "sha256: ", "md5 ", "checksum ", "etag \"", "hash "]), run("0123456789abcdef", rng.choice([32, 40, 64]))
+        if kind == 9:
+            return rng.choice(["", "see ", "/", "uuid "]), "-".join(name() for _ in range(rng.randint(3, 6))) + f"-{rng.randint(1, 99)}" if rng.random() < 0.5 else "-".join(run("0123456789abcdef", k) for k in (8, 4, 4, 4, 12))
+        if kind == 10:
+            return rng.choice(["", "the ", "= "]), rng.choice(["-", "=", "_"]) * rng.randint(16, 60) + digits(1) if rng.random() < 0.5 else name() * 4 + digits(2) + name()
         return rng.choice(["", "matrix "]), " ".join(digits(rng.randint(1, 2)) for _ in range(rng.randint(7, 14)))
 
     out = []
@@ -292,7 +322,7 @@ def _case(tree, f: Column) -> Column:
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of each row."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans of each row."""
     m = fitted(docs.sparkSession)
     rows = _with_text(docs)
     for kind in KINDS:
@@ -311,12 +341,12 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
     limit = F.create_map(*(F.lit(v) for k in PROPOSE for v in (k, logit(m["limits"][k]))))
     free = lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    rows = rows.withColumn("_c", F.when(F.col("_digit") | F.contains("_t", F.lit("@")) | F.contains("_t", F.lit("dot")), F.filter(candidates(), free)))
-    rows = rows.withColumn("_s", F.transform("_c", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), score(x).alias("score"))))
+    rows = rows.withColumn("_c", F.when(F.col("_digit") | F.contains("_t", F.lit("@")) | F.contains(F.lower("_t"), F.lit("dot")), F.filter(candidates(), free)))
+    rows = rows.withColumn("_s", F.transform("_c", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["name"].alias("name"), score(x).alias("score"))))
     rows = rows.withColumn("_s", F.filter("_s", lambda x: x["score"] >= F.element_at(limit, x["kind"])))
     better = lambda x, y: (y["start"] < x["end"]) & (x["start"] < y["end"]) & ((y["score"] > x["score"]) | ((y["score"] == x["score"]) & ((y["start"] < x["start"]) | ((y["start"] == x["start"]) & (y["kind"] < x["kind"])))))
     rows = rows.withColumn("_more", F.filter("_s", lambda x: ~F.exists("_s", lambda y: better(x, y))))
-    named = F.transform("_more", lambda x: F.struct(F.when(x["kind"] == "spelt", "email").when(x["kind"] == "number", "phone").otherwise(x["kind"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    named = F.transform("_more", lambda x: F.struct(x["name"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     rows = rows.withColumn("_named", F.coalesce(named, F.slice("_base", 1, 0)))
     written = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
@@ -325,7 +355,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
         return F.array_sort(both, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(a["end"] - b["end"]))
 
     counts = [F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS]
-    return rows.select("doc_id", *counts, F.sha2(written(F.col("_base")), 256).alias("base_sha256"), written(F.concat(*(of(k) for k in [*KINDS, "account"]))).alias("spans"))
+    return rows.select("doc_id", *counts, F.sha2(written(F.col("_base")), 256).alias("base_sha256"), written(F.concat(*(of(k) for k in [*KINDS, *MORE]))).alias("spans"), (F.size("_base") + F.size("_named")).cast("long").alias("n_spans"))
 
 
 def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,25 +2,32 @@
 
 Base rules count words, symbols, repeated lines and repeated three-word
 windows over whole texts. Texts that pass them give a vector of transformed
-statistics; for each language and source, a minimum-covariance-determinant
-estimate (the location and scatter of the tightest ``SUPPORT`` share of rows)
-is found by concentration steps, and texts whose Mahalanobis distance exceeds
-a chi-square-like limit are rejected.
-
-Every concentration step is one aggregate over all rows: moments are summed
-per group and per bin of log distance, so a step's cut and its new estimate
-both come from at most ``BINS`` rows a group, whatever the group's size. Nothing
-is sampled; a hot group costs no more than map-side combined sums.
+statistics. For each language and source a minimum-covariance-determinant
+estimate is sought: the ``SUPPORT`` share of rows whose scatter has the least
+determinant. Concentration steps run from ``STARTS`` starts (medians and median
+deviations, and the moments of small seeded subsets), each start for ``STEPS`` steps;
+the one with the least determinant goes on until its determinant stands still. Texts
+beyond the chi-square quantile of 1 - ``TAIL`` are rejected; scatter is scaled so that the median distance is that of a
+normal sample. Real statistics have longer tails than normal ones, which is why ``TAIL`` is small.
+
+Every concentration step is one aggregate over all rows, for all starts: moments are summed
+per group, start and bin of log distance, so a step's cut and its new estimate
+both come from at most ``BINS`` rows a group and start, whatever the group's size; the bin in
+which the cut lies counts in part. Nothing
+is sampled but the starts; a hot group costs no more than map-side combined sums.
 
 Edge cases: null text counts as no words and fails the base rules. A null
 language or source is a group of its own. Groups of fewer than ``LEAST`` texts
 are pooled within their language, then over all; a pool still smaller gives
 no verdict and its texts stay. Equal rows get equal verdicts. Constant
-statistics can't make a scatter singular: each variance has a floor.
+statistics can't make a scatter singular: each variance has a floor, and correlations
+are shrunk by ``SHRINK``. An empty table gives an empty result; other columns aren't read.
+Texts of any length are read whole.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,14 +38,29 @@ from pyspark.sql import functions as F
 from . import words as W
 from .common import materialize, table
 
-SUPPORT, LEAST, STEPS, BINS = 0.75, 50, 6, 320
-#: Squared distance beyond which a text is an outlier, five dimensions.
-LIMIT = 50.0
+SUPPORT, LEAST, STEPS, BINS = 0.75, 50, 4, 640
+#: Starts, rows of a seeded start, the most steps of the best, and by how much correlations are shrunk.
+STARTS, SUBSET, MOST_STEPS, SHRINK = 6, 15, 10, 0.005
+#: The share of a normal sample beyond the limit.
+TAIL = 1e-9
+
+
+def chi_square_limit(tail: float) -> float:
+    """The squared distance beyond which that share of a normal sample in five dimensions lies."""
+    beyond = lambda x: math.erfc(math.sqrt(x / 2)) + math.sqrt(2 * x / math.pi) * math.exp(-x / 2) * (1 + x / 3)
+    low, high = 0.0, 400.0
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if beyond(middle) > tail else (low, middle)
+    return (low + high) / 2
+
+
+LIMIT = chi_square_limit(TAIL)
 #: The least standard deviation of each statistic.
 FLOOR = np.array([0.25, 0.05, 0.6, 0.5, 0.06])
 P = len(FLOOR)
 #: The median of chi-square with five degrees of freedom.
-CHI_MEDIAN = 4.351460
+CHI_MEDIAN = chi_square_limit(0.5)
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -87,14 +109,19 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.array([repeated_lines(b[o[x] : o[x + 1]].tobytes()) for x in range(j - i)], np.int64),
                 repeated_words(W.hashes(b, start, end, fold=False), first),
             ]
-            keep = [batch.column(c).slice(i, j - i) for c in ("doc_id", "lang", "source")]
-            yield pa.RecordBatch.from_arrays([*keep, *(pa.array(c.astype(np.int64)) for c in counts)], ["doc_id", "lang", "source", *STATS])
+            keep = [batch.column(c).slice(i, j - i) for c in ("doc_id", "row", "lang", "source")]
+            yield pa.RecordBatch.from_arrays([*keep, *(pa.array(c.astype(np.int64)) for c in counts)], ["doc_id", "row", "lang", "source", *STATS])
+
+
+def row_key(docs: DataFrame):
+    """A hash of what a verdict hangs on, and the id."""
+    return F.xxhash64(F.col("doc_id").cast("long"), *(F.col(c).cast("string") for c in ("lang", "source", "text")))
 
 
 def text_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the five counts of each row's whole text."""
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in ("lang", "source", "text")))
-    return some.mapInArrow(_stats, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in STATS))
+    """doc_id, row (its key), lang, source and the five counts of each row's whole text."""
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row"), *(F.col(c).cast("string").alias(c) for c in ("lang", "source", "text")))
+    return some.mapInArrow(_stats, "doc_id long, row long, lang string, source string, " + ", ".join(f"{c} long" for c in STATS))
 
 
 def features() -> list:
@@ -104,7 +131,12 @@ def features() -> list:
 
 _X = [f"x{i}" for i in range(P)]
 _PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
-_MODEL = "lang_key string, source_key string, seen long, model array<double>"
+_SUMS = [f"s{i}" for i in range(P)] + [f"c{i}_{j}" for i, j in _PAIRS]
+#: Bins of each doubling of the distance.
+PER_OCTAVE = 16
+_BY = ["lang_key", "source_key"]
+_MODEL = "lang_key string, source_key string, start int, seen long, logdet double, model array<double>"
+_NAMES = [*_BY, "start", "seen", "logdet", "model"]
 
 
 def _median(values: np.ndarray, weights: np.ndarray) -> float:
@@ -112,55 +144,68 @@ def _median(values: np.ndarray, weights: np.ndarray) -> float:
     return float(values[np.searchsorted(at, at[-1] / 2)])
 
 
-def _start(pdf):
-    """First location and scatter: medians and median deviations of the binned statistics."""
+def _estimate(mean: np.ndarray, cov: np.ndarray) -> tuple[float, list[float]]:
+    """Log determinant and model (location, inverse scatter, scale 1) of moments, floors applied."""
+    # Numbers summed in another order differ in their last bits; rounding hides that.
+    mean, cov = np.round(mean, 9), np.round(cov, 9)
+    var = np.maximum(np.diag(cov), FLOOR**2)
+    cov = cov * (1 - SHRINK)
+    np.fill_diagonal(cov, var)
+    return round(float(np.linalg.slogdet(cov)[1]), 6), [*mean.tolist(), *np.round(np.linalg.inv(cov), 7).ravel().tolist(), 1.0]
+
+
+def _row(pdf, start: int, seen: int, logdet: float, model: list[float]):
     import pandas as pd
 
-    model, seen = np.zeros(P + P * P + 1), 0
-    inverse = np.zeros((P, P))
+    return pd.DataFrame([[*pdf.iloc[0][_BY], start, seen, logdet, model]], columns=_NAMES)
+
+
+def _medians(pdf):
+    """The first start: medians and median deviations of the binned statistics."""
+    mean, dev, seen = np.zeros(P), np.zeros(P), 0
     for i, part in pdf.groupby("i"):
         part = part.sort_values("bin")
         v, w = part["bin"].to_numpy() / 64.0, part["n"].to_numpy()
-        model[i] = _median(v, w)
-        dev = np.abs(v - model[i])
-        order = np.argsort(dev, kind="stable")
-        inverse[i, i] = 1 / max(1.4826 * _median(dev[order], w[order]), FLOOR[i]) ** 2
+        mean[i] = _median(v, w)
+        apart = np.abs(v - mean[i])
+        order = np.argsort(apart, kind="stable")
+        dev[i] = 1.4826 * _median(apart[order], w[order])
         seen = int(w.sum())
-    model[P:-1] = inverse.ravel()
-    model[-1] = 1
-    return pd.DataFrame([[*pdf.iloc[0][["lang_key", "source_key"]], seen, model.tolist()]], columns=["lang_key", "source_key", "seen", "model"])
-
+    return _row(pdf, 0, seen, *_estimate(mean, np.diag(dev**2)))
 
-def _concentrate(pdf):
-    """One step: the nearest SUPPORT of the rows give the next location and scatter."""
-    import pandas as pd
 
-    pdf = pdf.sort_values("bin")
-    n = pdf["n"].to_numpy()
-    at = np.cumsum(n)
-    cut = int(np.searchsorted(at, SUPPORT * at[-1])) + 1
-    some = pdf.iloc[:cut]
-    m = some["n"].sum()
-    mean = np.array([some[f"s{i}"].sum() / m for i in range(P)])
+def _moments(sums, m: float) -> tuple[np.ndarray, np.ndarray]:
+    mean = np.array([sums[f"s{i}"] / m for i in range(P)])
     cov = np.zeros((P, P))
     for i, j in _PAIRS:
-        cov[i, j] = cov[j, i] = some[f"c{i}_{j}"].sum() / m - mean[i] * mean[j]
-    # Numbers summed in another order differ in their last bits; rounding hides that.
-    mean, cov = np.round(mean, 9), np.round(cov, 9)
-    inverse = np.linalg.inv(cov + np.diag(FLOOR**2))
-    model = [*mean.tolist(), *np.round(inverse, 7).ravel().tolist(), 1.0]
-    return pd.DataFrame([[*pdf.iloc[0][["lang_key", "source_key"]], int(at[-1]), model]], columns=["lang_key", "source_key", "seen", "model"])
+        cov[i, j] = cov[j, i] = sums[f"c{i}_{j}"] / m - mean[i] * mean[j]
+    return mean, cov
+
+
+def _subset(pdf):
+    """A seeded start: the moments of a few rows."""
+    one = pdf.iloc[0]
+    return _row(pdf, int(one["start"]), int(one["n"]), *_estimate(*_moments(one, float(one["n"]))))
+
+
+def _concentrate(pdf):
+    """One step: the nearest SUPPORT of the rows give the next location and scatter; the last bin counts in part."""
+    pdf = pdf.sort_values("bin")
+    n = pdf["n"].to_numpy().astype(float)
+    upto = np.cumsum(n)
+    need = SUPPORT * upto[-1]
+    share = np.clip((need - (upto - n)) / n, 0, 1)
+    sums = {c: float((pdf[c].to_numpy() * share).sum()) for c in _SUMS}
+    return _row(pdf, int(pdf["start"].iloc[0]), int(upto[-1]), *_estimate(*_moments(sums, need)))
 
 
 def _scale(pdf):
     """The last element of a model: what makes the median distance that of a normal sample."""
-    import pandas as pd
-
     pdf = pdf.sort_values("bin")
-    middle = 2.0 ** (_median(pdf["bin"].to_numpy() + 0.5, pdf["n"].to_numpy()) / 8)
+    middle = 2.0 ** (_median(pdf["bin"].to_numpy() + 0.5, pdf["n"].to_numpy()) / PER_OCTAVE)
     model = [float(x) for x in pdf.iloc[0]["model"]]
     model[-1] = max(1.0, middle / CHI_MEDIAN)
-    return pd.DataFrame([[*pdf.iloc[0][["lang_key", "source_key"]], int(pdf["n"].sum()), model]], columns=["lang_key", "source_key", "seen", "model"])
+    return _row(pdf, 0, int(pdf["n"].sum()), 0.0, model)
 
 
 def _distance():
@@ -172,24 +217,40 @@ def _distance():
 
 
 def _bin():
-    return F.greatest(F.lit(-BINS // 2), F.least(F.lit(BINS // 2), F.floor(8 * F.log2(F.greatest(_distance(), F.lit(1e-12)))))).cast("int").alias("bin")
+    return F.greatest(F.lit(-BINS // 2), F.least(F.lit(BINS // 2), F.floor(PER_OCTAVE * F.log2(F.greatest(_distance(), F.lit(1e-12)))))).cast("int").alias("bin")
 
 
 def robust_models(rows: DataFrame) -> DataFrame:
     """lang_key, source_key, seen, model: the estimate of each fit group of rows with x0..x4."""
-    by = ["lang_key", "source_key"]
-    binned = rows.select(*by, F.posexplode(F.array(*_X)).alias("i", "x")).groupBy(*by, "i", F.floor(F.col("x") * 64).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    models = materialize(binned.groupBy(*by).applyInPandas(_start, _MODEL), "mcd")
     sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(_X)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"c{i}_{j}") for i, j in _PAIRS]
+    binned = rows.select(*_BY, F.posexplode(F.array(*_X)).alias("i", "x")).groupBy(*_BY, "i", F.floor(F.col("x") * 64).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    models = binned.groupBy(*_BY).applyInPandas(_medians, _MODEL)
+    # Rows of the seeded starts: a share of each group by a hash of the row, so equal rows go together.
+    sizes = rows.groupBy(*_BY).agg(F.count(F.lit(1)).alias("size"))
+    drawn = rows.join(sizes, _BY).select(*_BY, *_X, "size", F.explode(F.sequence(F.lit(1), F.lit(STARTS - 1))).alias("start"))
+    drawn = drawn.where(F.pmod(F.xxhash64("start", *_X), F.col("size")) < SUBSET).groupBy(*_BY, "start").agg(F.count(F.lit(1)).alias("n"), *sums).where(F.col("n") > P)
+    models = materialize(models.unionByName(drawn.groupBy(*_BY, "start").applyInPandas(_subset, _MODEL)), "mcd")
+
+    def step(models: DataFrame) -> DataFrame:
+        near = rows.join(models.select(*_BY, "start", "model"), _BY).groupBy(*_BY, "start", _bin()).agg(F.count(F.lit(1)).alias("n"), *sums)
+        return materialize(near.groupBy(*_BY, "start").applyInPandas(_concentrate, _MODEL), "mcd")
+
     for _ in range(STEPS):
-        near = rows.join(models.select(*by, "model"), by).groupBy(*by, _bin()).agg(F.count(F.lit(1)).alias("n"), *sums)
-        models = materialize(near.groupBy(*by).applyInPandas(_concentrate, _MODEL), "mcd")
-    spread = rows.join(models.select(*by, "model"), by).groupBy(*by, "model", _bin()).agg(F.count(F.lit(1)).alias("n"))
-    return materialize(spread.groupBy(*by).applyInPandas(_scale, _MODEL), "mcd")
+        models = step(models)
+    best = models.groupBy(*_BY).agg(F.min(F.struct("logdet", "start")).alias("best"))
+    models = materialize(models.join(best, _BY).where((F.col("start") == F.col("best.start"))).drop("best"), "mcd")
+    for _ in range(MOST_STEPS):
+        after = step(models)
+        moved = after.join(models.select(*_BY, F.col("logdet").alias("was")), _BY).where(F.abs(F.col("logdet") - F.col("was")) > 1e-4)
+        models = after
+        if moved.isEmpty():
+            break
+    spread = rows.join(models.select(*_BY, "model"), _BY).groupBy(*_BY, "model", _bin()).agg(F.count(F.lit(1)).alias("n"))
+    return materialize(spread.groupBy(*_BY).applyInPandas(_scale, _MODEL), "mcd")
 
 
 def quality(docs: DataFrame) -> DataFrame:
-    """doc_id, the counts, base_failed, distance (null without a verdict) and kept of each row of docs."""
+    """doc_id, row, the counts, base_failed, distance (null without a verdict) and kept of each row of docs."""
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     stats = materialize(text_statistics(docs).withColumn("base_failed", base), "quality")
     keys = stats.select("*", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("-")).alias("l"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")).alias("s"))
@@ -210,8 +271,8 @@ def quality(docs: DataFrame) -> DataFrame:
     ok = F.when(F.col("base_failed"), F.lit(None)).otherwise(F.lit(0))
     out = out.select("*", *(F.when(ok.isNotNull(), x).alias(n) for x, n in zip(features(), _X, strict=True)))
     out = out.withColumn("distance", _distance())
-    return out.select("doc_id", *STATS, "base_failed", "distance", (~F.col("base_failed") & F.coalesce(F.col("distance") <= LIMIT, F.lit(True))).alias("kept"))
+    return out.select("doc_id", "row", *STATS, "base_failed", "distance", (~F.col("base_failed") & F.coalesce(F.col("distance") <= LIMIT, F.lit(True))).alias("kept"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(table(spark, sf_dir, "documents"))
+    return quality(table(spark, sf_dir, "documents")).drop("row")

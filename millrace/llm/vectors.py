@@ -8,6 +8,10 @@ or when its vectors are so close to one another that a split would part links.
 Every vector of the table is routed to all its leaves in all trees, whole
 leaves are compared in double precision, and links are united.
 
+A leaf of more than ``MOST`` times ``LEAF`` rows is split further by a small tree of its own, fitted on a
+bounded sample of its rows in a task; this is repeated, without the driver, until
+leaves are small or no split leaves links whole, so leaves don't grow with the table.
+
 Equal vectors are one node with a count. A leaf of more than ``BLOCK`` vectors is
 cut into blocks and each two blocks are one task, so no leaf is too large, and
 nothing is left out. Tasks return, per vector, how many vectors it links to, and
@@ -16,12 +20,15 @@ in the first of them, which both rows' lists of leaves tell.
 
 Edge cases: a null or empty vector, one with null, infinite or NaN components
 and the zero vector link with nothing. Vectors of different lengths don't link.
-Rows with a null id link with nothing and stay. Repeated rows are equal vectors.
+Rows with a null id link with nothing and stay. Repeated rows are equal vectors. Vectors are scaled by their
+largest component before their length is taken, so magnitudes don't matter. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +37,21 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, materialize, table
 
-TREES, SAMPLE, LEAF, BLOCK, SPILL, TIGHT, SEED = 10, 16384, 512, 512, 0.05, 0.9, 5
+TREES, SAMPLE, LEAF, BLOCK, SPILL, TIGHT, SEED = 12, 16384, 512, 512, 0.08, 0.9, 5
+#: Leaves of more than so many times LEAF rows are split again, by trees of so many levels fitted on so many rows.
+MOST, LEVELS, LEAF_SAMPLE = 4, 4, 1024
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1, whatever their magnitudes."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def fit_forest(sample: np.ndarray, total: int, trees: int = TREES, seed: int = SEED) -> list[dict]:
+def fit_forest(sample: np.ndarray, total: int, trees: int = TREES, seed: int = SEED, leaf_rows: int = LEAF, levels: int = 40) -> list[dict]:
     """Trees as arrays: direction of each node, the two bounds, its children; a child below 0 is leaf -child."""
-    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-    least = max(8.0, LEAF * len(unit) / max(total, 1))
+    unit = unit_rows(sample)
+    least = max(8.0, leaf_rows * len(unit) / max(total, 1))
     out, leaf = [], 0
     for t in range(trees):
         rng = np.random.default_rng([seed, t])
@@ -45,7 +60,7 @@ def fit_forest(sample: np.ndarray, total: int, trees: int = TREES, seed: int = S
         def grow(rows: np.ndarray, depth: int) -> int:
             nonlocal leaf
             x = unit[rows]
-            if len(rows) <= least or depth >= 40 or np.linalg.norm(x.mean(axis=0)) >= TIGHT:
+            if len(rows) <= least or depth >= levels or np.linalg.norm(x.mean(axis=0)) >= TIGHT:
                 leaf += 1
                 return -leaf
             d = rng.standard_normal(unit.shape[1])
@@ -69,7 +84,7 @@ def fit_forest(sample: np.ndarray, total: int, trees: int = TREES, seed: int = S
 def leaves_of(forest: list[dict], x: np.ndarray) -> list[list[int]]:
     """All leaves of each row of x, sorted."""
     found: list[list[int]] = [[] for _ in range(len(x))]
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    unit = unit_rows(x)
     for tree in forest:
         todo = [(tree["root"], np.arange(len(unit)))]
         while todo:
@@ -93,8 +108,7 @@ def _compare(cosine: float):
     def run(pdf):
         pdf = pdf.sort_values(["own", "id"])
         leaf, ids, own = int(pdf["leaf"].iloc[0]), pdf["id"].to_numpy(), pdf["own"].to_numpy()
-        x = np.array(pdf["v"].tolist(), np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = unit_rows(np.array(pdf["v"].tolist(), np.float64))
         linked = x @ x.T >= cosine
         np.fill_diagonal(linked, False)
         if pdf["two"].iloc[0]:
@@ -123,7 +137,56 @@ def _compare(cosine: float):
     return run
 
 
-def near_vectors(rows: DataFrame, cosine: float = 0.95, trees: int = TREES) -> DataFrame:
+def _fit_leaf(leaf_rows: int):
+    import pandas as pd
+
+    def run(pdf):
+        """The tree of one leaf from a sample of its rows; null where no split leaves its links whole."""
+        leaf, total = int(pdf["leaf"].iloc[0]), int(pdf["n"].iloc[0])
+        x = np.array(pdf.sort_values("id")["v"].tolist(), np.float64)
+        tree = fit_forest(x, total, 1, leaf % (1 << 31), leaf_rows, LEVELS)[0]
+        model = pickle.dumps(tree) if tree["root"] >= 0 else None
+        return pd.DataFrame({"leaf": [leaf], "model": [model]})
+
+    return run
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, leaf, v, model) -> (id, leaf, parts): the leaves that take the place of leaf."""
+    for batch in batches:
+        leaf, models, vectors = batch.column(1).to_numpy(), batch.column(3), batch.column(2)
+        parts: list = [None] * batch.num_rows
+        for one in np.unique(leaf).tolist():
+            at = np.flatnonzero(leaf == one)
+            x = np.array(vectors.take(pa.array(at)).to_pylist(), np.float64)
+            for r, found in zip(at.tolist(), leaves_of([pickle.loads(models[int(at[0])].as_py())], x), strict=True):
+                parts[r] = [int.from_bytes(blake2b(f"{one}/{f}".encode(), digest_size=7).digest()) for f in found]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.list_(pa.int64()))], ["id", "leaf", "parts"])
+
+
+def _small_leaves(routed: DataFrame, leaf_rows: int) -> DataFrame:
+    """routed (id, v, copies, leaves) with too large leaves split, again and again."""
+    whole = None
+    while True:
+        sizes = routed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST * leaf_rows)
+        if whole is not None:
+            sizes = sizes.join(whole, "leaf", "left_anti")
+        sizes = materialize(sizes, "large-leaves")
+        if sizes.isEmpty():
+            return routed
+        members = routed.select("id", "v", F.explode("leaves").alias("leaf")).join(sizes, "leaf")
+        sample = members.where(F.pmod(F.xxhash64("id", "leaf"), F.col("n")) < LEAF_SAMPLE)
+        models = materialize(sample.groupBy("leaf").applyInPandas(_fit_leaf(leaf_rows), "leaf long, model binary"), "leaf-trees")
+        new = models.where("model is null").select("leaf")
+        whole = new if whole is None else whole.unionByName(new)
+        parts = members.join(models.where("model is not null"), "leaf").select("id", "leaf", "v", "model").mapInArrow(_split, "id long, leaf long, parts array<long>")
+        parts = parts.groupBy(F.col("id").alias("_id")).agg(F.collect_set("leaf").alias("_old"), F.flatten(F.collect_list("parts")).alias("_new"))
+        leaves = F.array_sort(F.array_distinct(F.concat(F.array_except("leaves", "_old"), F.col("_new"))))
+        joined = routed.join(parts, F.col("id") == F.col("_id"), "left")
+        routed = materialize(joined.select("id", "v", "copies", F.when(F.col("_id").isNull(), F.col("leaves")).otherwise(leaves).alias("leaves")), "vector-leaves")
+
+
+def near_vectors(rows: DataFrame, cosine: float = 0.95, trees: int = TREES, leaf_rows: int = LEAF) -> DataFrame:
     """rows (vec_id, embedding) -> vec_id, n_links, component_id, kept, one row per row."""
     spark = rows.sparkSession
     kind = "array<float>" if rows.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
@@ -141,7 +204,7 @@ def near_vectors(rows: DataFrame, cosine: float = 0.95, trees: int = TREES) -> D
     for number, (d, total) in enumerate(lengths):
         own = nodes.where(F.size("v") == d)
         sample = np.array([r[0] for r in own.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()], np.float64)
-        forest, base = fit_forest(sample, total, trees), number << 40
+        forest, base = fit_forest(sample, total, trees, SEED, leaf_rows), number << 40
 
         def route(batches: Iterator[pa.RecordBatch], forest=forest, base=base) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -157,7 +220,7 @@ def near_vectors(rows: DataFrame, cosine: float = 0.95, trees: int = TREES) -> D
     routed = parts[0]
     for p in parts[1:]:
         routed = routed.unionByName(p)
-    routed = materialize(routed, "vector-leaves")
+    routed = _small_leaves(materialize(routed, "vector-leaves"), leaf_rows)
     placed = routed.select("*", F.explode("leaves").alias("leaf"))
     sizes = materialize(routed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "leaf-sizes")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
