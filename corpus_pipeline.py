@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's docs. All but the last return the
 columns of documents.
+
+In all stages rows are told apart by id and text (mixing: by all columns), so of
+one id's different texts each has a verdict of its own, and rows with a null id
+are judged by their text. Rows that are equal in everything are treated alike.
+Extra columns, whatever their names, pass through. Empty tables stay empty. Texts
+of any length are read whole.
 """
 
 from __future__ import annotations
@@ -11,18 +17,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import lines, minhash, mixing, pieces, quality
-from millrace.llm.common import WORD, materialize, table
+from millrace.llm.common import WORD, discard, materialize, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the outlier test reject go; a null id is never rejected."""
+    """Documents that the base rules or the outlier test reject go; null and blank texts fail the base rules."""
     verdicts = quality.quality(docs)
-    rejected = materialize(verdicts.where("doc_id is not null and not kept").select("doc_id").distinct(), "rejected")
-    return docs.join(rejected.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    rejected = materialize(verdicts.where("not kept").select("row").distinct(), "rejected")
+    marked = docs.withColumn("_row", quality.row_key(docs))
+    return marked.join(rejected.select(F.col("row").alias("_row")).hint("merge"), "_row", "left_anti").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go from all texts but the first; a document that loses its last word so goes too."""
+    """Repeated lines go from all texts but the first; a document that loses its last word so goes too.
+
+    Null texts and rows with a null id stay as they are.
+    """
     out = lines.without_duplicate_lines(docs)
     out = out.where((F.col("n_dropped") == 0) | F.col("text").rlike(WORD))
     if "n_chars" in docs.columns:
@@ -31,28 +41,42 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the least id; rows repeated with one id become one."""
-    groups = minhash.near_duplicates(docs, k=5, percent=80).where("doc_id is not null")
-    marks = groups.groupBy("doc_id").agg(F.min("kept").alias("first"), F.count(F.lit(1)).alias("rows"))
-    marks = materialize(marks.where("not first or rows > 1"), "near-marks")
-    out = docs.join(marks.where("not first").select("doc_id").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
-    again = marks.where("first").select("doc_id")
+    """One document of each group of near-duplicates stays, the first by id and text hash.
+
+    Stages on word shingles take five words and a similarity of 0.8; the query op5 has limits of its own. Rows
+    repeated with one id and text become one. Texts without words, and rows with a null id, stay.
+    """
+    groups = minhash.near_duplicates(docs, k=5, percent=80).where("doc_id is not null and t is not null")
+    rows = groups.groupBy("node", "doc_id", "t").agg(F.count(F.lit(1)).alias("rows"))
+    heads = rows.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "t")).alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    first = F.coalesce(F.struct("doc_id", "t") == F.col("head"), F.lit(True))
+    marks = rows.join(heads, "node", "left").select("doc_id", "t", first.alias("first"), "rows")
+    marks = materialize(marks.where("not first or rows > 1").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), "first"), "near-marks")
+    keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_t", F.xxhash64(F.col("text").cast("string")))
+    out = keyed.join(marks.where("not first").hint("merge"), ["_id", "_t"], "left_anti")
+    again = marks.where("first")
     if again.isEmpty():
-        return out
-    once = out.join(again.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return out.join(again.hint("merge"), "doc_id", "left_anti").unionByName(once.select(*docs.columns))
+        return out.select(*docs.columns)
+    once = out.join(again.hint("merge"), ["_id", "_t"], "left_semi").dropDuplicates(["_id", "_t"])
+    return out.join(again.hint("merge"), ["_id", "_t"], "left_anti").unionByName(once).select(*docs.columns)
 
 
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, 0 to 3 times."""
-    repeats = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("repeats").alias("_repeats"))
-    repeats = materialize(repeats, "repeats")
-    out = docs.join(repeats.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return out.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("_repeats"))).alias("_copy")).select(*docs.columns)
+    """Each document as often as the mix takes it, 0 to 3 times; of equal rows together as often as of all of them."""
+    counted = mixing.mix(docs).groupBy(F.col("row").alias("_row")).agg(F.sum("repeats").alias("_all"), F.count(F.lit(1)).alias("_rows")).where("_all > 0")
+    counted = materialize(counted, "repeats")
+    rows = docs.withColumn("_row", mixing.row_hash(docs)).join(counted.hint("merge"), "_row")
+    times = lambda n: F.explode(F.array_repeat(F.lit(0), n.cast("int"))).alias("_copy")
+    out = rows.select(*docs.columns, times(F.floor(F.col("_all") / F.col("_rows")))).select(*docs.columns)
+    uneven = F.col("_all") % F.col("_rows")
+    if counted.where(uneven > 0).isEmpty():
+        return out
+    rest = rows.where(uneven > 0).dropDuplicates(["_row"]).select(*docs.columns, times(uneven)).select(*docs.columns)
+    return out.unionByName(rest)
 
 
 def sentencepiece_coding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their piece ids."""
+    """The documents with their piece ids; a null text has none."""
     return pieces.encoded(docs)
 
 
@@ -71,5 +95,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        after = materialize(stage(spark, docs, sf_dir), name)
+        discard(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
