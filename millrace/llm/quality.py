@@ -40,7 +40,7 @@ from .common import materialize, table
 
 SUPPORT, LEAST, STEPS, BINS = 0.75, 50, 4, 640
 #: Starts, rows of a seeded start, the most steps of the best, and by how much correlations are shrunk.
-STARTS, SUBSET, MOST_STEPS, SHRINK = 6, 15, 10, 0.005
+STARTS, SUBSET, MOST_STEPS, SHRINK = 8, 15, 10, 0.005
 #: The share of a normal sample beyond the limit.
 TAIL = 1e-9
 
