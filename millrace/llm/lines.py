@@ -39,7 +39,7 @@ EDITS, SHORTEST = 2, 1
 #: From so many characters on, a line may differ from its like by 1 and by 2 edits; shorter ones must be equal.
 LIMITS = {1: 10, 2: 20}
 #: Letters whose counts, modulo 16, make a line's sketch; one edit changes two counts by one at most.
-LETTERS = "etaonirs"
+LETTERS = "etaonihrsdu"
 #: The same for the digits, in which the lines of one template differ.
 DIGITS = "0123456789"
 
