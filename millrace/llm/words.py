@@ -43,7 +43,7 @@ def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     return have
 
 
-def slices(column: pa.Array, size: int = 4 << 20, rows: int = 4000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, size: int = 2 << 20, rows: int = 4000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets into them) of pieces of about size bytes; a longer text is a piece of its own."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
