@@ -1,16 +1,19 @@
 """The worker controller: a fold over a run history, one decision after another.
 
 Each decision changes the worker count, which decides what later windows hold, so a
-key's runs are folded in order. ``step`` is the pure rule; ``replay`` folds each
-key's runs in a grouped map, whose groups are one key's history (bounded by how
-often it ran), dealt by key.
+key's runs are folded in order. ``step`` is the pure rule, ``advance`` one run of the
+fold, which looks back over the last ten runs; ``replay`` folds every key's runs.
 """
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -88,27 +91,52 @@ def step(window: list[float], state: State, rules: Rules = RULES) -> tuple[str,
     return "hold", "stable", settled
 
 
+def recent(rules: Rules = RULES) -> int:
+    """How many of the last runs a decision looks back over."""
+    return rules.window + 5
+
+
+def advance(past: deque, throughput: float, state: State, rules: Rules = RULES) -> tuple[str, str, State]:
+    """The decision after one more run; past holds (workers, throughput) of the last runs, as many as recent() says."""
+    past.append((state.workers, throughput))
+    while len(past) > recent(rules):
+        past.popleft()
+    return step([t for w, t in past if w == state.workers and t > 0][-rules.window :], state, rules)
+
+
 def fold(throughputs, start: State | None = None, rules: Rules = RULES) -> list[tuple[int, str, str, int, bool]]:
     """For each run: the workers it used, the decision after it, why, the next workers, converged."""
-    state, used, out = start or cold_start(rules), [], []
+    state, past, out = start or cold_start(rules), deque(), []
     for tp in throughputs:
-        used.append((state.workers, tp))
-        window = [t for w, t in used if w == state.workers and t > 0][-rules.window :]
         at = state.workers
-        decision, reason, state = step(window, state, rules)
+        decision, reason, state = advance(past, tp, state, rules)
         out.append((at, decision, reason, state.workers, state.converged))
     return out
 
 
 def replay(runs: DataFrame, rules: Rules = RULES) -> DataFrame:
-    """runs (object, run_id, start_time, throughput) -> run_id, object, workers, decision, reason, next_workers, converged."""
-
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(["start_time", "run_id"], kind="stable")
-        rows = [(r, o, *x) for r, o, x in zip(pdf["run_id"], pdf["object"], fold(pdf["throughput"].tolist(), rules=rules), strict=True)]
-        return pd.DataFrame(rows, columns=["run_id", "object", "workers", "decision", "reason", "next_workers", "converged"])
-
-    schema = "run_id long, object long, workers int, decision string, reason string, next_workers int, converged boolean"
-    return runs.select("object", "run_id", "start_time", "throughput").groupBy("object").applyInPandas(run, schema)
+    """runs (object, run_id, start_time, throughput) -> run_id, object, workers, decision, reason, next_workers, converged.
+
+    Runs are dealt by object and sorted, and each task walks over its rows: memory is one state, however long a history is.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, state, past = None, cold_start(rules), deque()
+        for batch in batches:
+            ids, objects, throughputs = (batch.column(c).to_pylist() for c in ("run_id", "object", "throughput"))
+            out = []
+            for r, o, tp in zip(ids, objects, throughputs, strict=True):
+                if o != held:
+                    held, state, past = o, cold_start(rules), deque()
+                at = state.workers
+                decision, reason, state = advance(past, tp, state, rules)
+                out.append((r, o, at, decision, reason, state.workers, state.converged))
+            cols = list(zip(*out, strict=True)) or [()] * len(_KINDS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _KINDS.values(), strict=True)], list(_KINDS))
+
+    dealt = runs.select("object", "run_id", "start_time", "throughput").repartition("object").sortWithinPartitions("object", "start_time", "run_id")
+    rows = dealt.select(F.col("run_id").cast("long").alias("run_id"), F.col("object").cast("long").alias("object"), F.coalesce(F.col("throughput").cast("double"), F.lit(0.0)).alias("throughput"))
+    return rows.mapInArrow(run, "run_id long, object long, workers int, decision string, reason string, next_workers int, converged boolean")
+
+
+_KINDS = {"run_id": pa.int64(), "object": pa.int64(), "workers": pa.int32(), "decision": pa.string(), "reason": pa.string(), "next_workers": pa.int32(), "converged": pa.bool_()}

@@ -12,7 +12,7 @@ SMALL_ROWS, SMALL_BYTES, CHUNK_ROWS, SKEWED = 100_000, 50_000_000, 500_000, 1.0
 
 
 def key_stats(df: DataFrame, key: str) -> DataFrame:
-    """n_rows, pk_min, pk_max: one aggregate, which Parquet answers from its footers."""
+    """n_rows, pk_min, pk_max: one aggregate over the key column alone."""
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.min(key).alias("pk_min"), F.max(key).alias("pk_max"))
 
 

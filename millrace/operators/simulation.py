@@ -1,61 +1,42 @@
-"""A seeded source for exercising the controller: throughput curves, noise, skew, spikes and growth."""
+"""A seeded run source for exercising the controller.
+
+Throughput follows the universal scalability law: each worker adds ``rate``
+rows a second, contention (``serial``) and coherence costs (set so that the curve
+peaks at ``peak_workers``) take away from it. Runs vary by log-normal noise of the given
+spread; a run's time is dealt to its chunks by gamma-distributed shares, whose
+shape is the smaller the more uneven chunks are to be.
+"""
 
 from __future__ import annotations
 
-import math
 import random
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 
-@dataclass
-class Source:
-    rows: int = 10_000_000
-    peak: float = 50_000.0
-    best_workers: int = 6
-    curve: str = "logarithmic"
-    noise: float = 0.10
-    growth: float = 0.0
-    spike_run: int = -1
-    spike: float = 1.5
-    skew: str = "uniform"
-    skew_strength: float = 0.0
-    seed: int = 42
-
-    def __post_init__(self):
-        self.reset()
-
-    def reset(self) -> None:
-        self._random, self._run, self._rows = random.Random(self.seed), 0, self.rows
-
-    def expected(self, workers: int) -> float:
-        """Throughput without noise: rising to the best worker count, falling beyond it."""
-        falls = {"linear": 0.08, "logarithmic": 0.10, "plateau_decline": 0.15}
-        if self.curve not in falls:
-            raise ValueError(f"unknown curve {self.curve!r}")
-        over = workers - self.best_workers
-        if over > 0:
-            return self.peak * max(0.2, 1 - falls[self.curve] * over)
-        share = workers / self.best_workers
-        if self.curve == "logarithmic":
-            share = math.log1p(workers) / math.log1p(self.best_workers)
-        elif self.curve == "plateau_decline":
-            share = min(1.0, 0.3 + 0.7 * share)
-        return self.peak * share
-
-    def durations(self, n: int, total: float) -> list[float]:
-        """Chunk durations: even, bell-shaped, or with a few that take many times as long."""
-        base, r = total / max(n, 1), self._random
-        if self.skew == "normal" and self.skew_strength > 0:
-            return [max(base * 0.1, r.gauss(base, base * self.skew_strength / 2)) for _ in range(n)]
-        if self.skew == "power_law" and self.skew_strength > 0:
-            return [base * (r.uniform(3, 8) if r.random() < self.skew_strength / 5 else r.uniform(0.5, 1.2)) for _ in range(n)]
-        return [base * r.uniform(0.9, 1.1) for _ in range(n)]
-
-    def run(self, workers: int, chunks: int = 10) -> dict:
-        self._run += 1
-        if self._run > 1:
-            self._rows = int(self._rows * (1 + self.growth))
-        tp = self.expected(workers) / (self.spike if self._run == self.spike_run else 1.0)
-        tp *= 1 + self._random.uniform(-self.noise, self.noise)
-        seconds = self._rows / max(tp, 1.0)
-        return {"run": self._run, "workers": workers, "rows": self._rows, "throughput": tp, "seconds": seconds, "durations": self.durations(chunks, seconds)}
+@dataclass(frozen=True)
+class Workload:
+    rows: int = 8_000_000
+    rate: float = 90_000.0
+    peak_workers: int = 4
+    serial: float = 0.05
+    spread: float = 0.05
+    evenness: float = 50.0
+    seed: int = 1
+
+    def mean_throughput(self, workers: int) -> float:
+        coherence = (1 - self.serial) / self.peak_workers**2
+        return self.rate * workers / (1 + self.serial * (workers - 1) + coherence * workers * (workers - 1))
+
+    def run(self, number: int, workers: int, chunks: int = 10) -> dict:
+        """Run number of that many workers; the same number gives the same run, whatever ran before."""
+        rng = random.Random(f"{self.seed}/{number}")
+        throughput = self.mean_throughput(workers) * rng.lognormvariate(0.0, self.spread)
+        seconds = self.rows / throughput
+        shares = [rng.gammavariate(self.evenness, 1.0) for _ in range(chunks)]
+        whole = sum(shares)
+        return {"run": number, "workers": workers, "rows": self.rows, "throughput": throughput, "seconds": seconds, "durations": [seconds * workers * s / whole for s in shares]}
+
+    def history(self, workers: list[int]) -> Iterator[dict]:
+        """One run after another under the given worker counts."""
+        return (self.run(i, w) for i, w in enumerate(workers))

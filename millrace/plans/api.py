@@ -9,7 +9,9 @@ source, and a failed one is tried again with pauses.
 from __future__ import annotations
 
 import json
+import math
 import os
+import threading
 import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions import kernels as K
 from millrace.operators import chunking, controller, decisions, profile, similarity
+from millrace.operators.backoff import Pacer, Rule
+from millrace.operators.execution import rule_confidence
 from millrace.plans.model import Chunk, CostRates, Intent, NotRecommended, Plan, RuntimeContext, canonical_json, fingerprint, load_plan, run_id
 from millrace.plans.state import Store
 from millrace.sources import sinks
@@ -56,8 +60,8 @@ class Result:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, store: str):
-        self.spark, self.store = spark, Store(spark, store)
+    def __init__(self, spark: SparkSession, store: str, sleep=time.sleep):
+        self.spark, self.store, self.sleep = spark, Store(spark, store), sleep
 
     # Profile and plan.
 
@@ -70,7 +74,8 @@ class Engine:
         meta = source.metadata()
         numeric = meta["pk_min"] is not None and isinstance(meta["pk_min"], (int, float)) and not isinstance(meta["pk_min"], bool)
         cv = profile.key_cv(source.read(), intent.key).first()[0] if intent.key and numeric else 0.0
-        most = max_connections or self.spark.sparkContext.defaultParallelism
+        there = source.connections() if max_connections is None else None
+        most, active = there or (max_connections or self.spark.sparkContext.defaultParallelism, active)
         row = self.spark.createDataFrame([(meta["n_rows"], meta["size"], meta["pk_min"] is not None, float(cv or 0.0), most, active)], "rows long, size long, has_key boolean, pk_cv double, max_conn int, active_conn int")
         told = profile.recommend(row).first().asDict()
         out = meta | {k: told[k] for k in ("avg_row_bytes", "safe_conn", "strategy", "scheduling", "workers")} | {"pk_cv": round(float(cv or 0.0), 3), "numeric_key": numeric, "latency": source.latency(), "profiled_at": _now()}
@@ -180,10 +185,18 @@ class Engine:
             sinks.check_space(folder, plan.est_bytes)
         body = canonical_json(plan.to_dict())
         self.store.append("runs", {"run_id": rid, "plan_id": plan.plan_id, "intent_hash": plan.intent_hash, "source": intent.source_type, "object": intent.object_name, "strategy": plan.strategy, "workers": plan.workers, "start_time": start, "status": "running", "context_json": json.dumps(self.context({"n_rows": plan.est_rows, "latency": {"p50_ms": plan.rule["threshold_ms"] / 5 if plan.rule else 0.5}})), "plan_json": body, "fingerprint": fingerprint(json.loads(body)), "replay_of": replay_of, "constrained": planned.constrained})
-        source, bounds = self.connector(intent), [(c.lo, c.hi) for c in plan.chunks]
+        source = self.connector(intent)
+
+        rule = Rule(**{k: plan.rule[k] for k in ("threshold_ms", "floor_ms", "most", "cooldown") if k in plan.rule}) if plan.rule else None
+        options = {k: v for k, v in intent.target_config.items() if k in ("compression", "sep", "header", "null_value", "encoding", "partition_by", "max_bytes", "row_bytes")}
+        for key, value in sinks.upload_settings(intent.target_type, intent.target_config).items():
+            self.spark.sparkContext._jsc.hadoopConfiguration().set(key, value)
+        mine, numbers = threading.local(), iter(range(plan.workers))
 
         def one(chunk: Chunk) -> dict[str, Any]:
-            rows = source.read()
+            if not hasattr(mine, "number"):
+                mine.number, mine.pacer = next(numbers), Pacer(rule) if rule else None
+            rows = source.read(snapshot=True)
             if chunk.kind == "range":
                 i = plan.chunks.index(chunk)
                 if i > 0:
@@ -194,17 +207,26 @@ class Engine:
             if intent.mode == "incremental" and intent.incremental_value is not None:
                 rows = rows.where(F.col(intent.incremental_key) > F.lit(intent.incremental_value))
             name = sinks.file_name(plan.output["pattern"], plan.object_name, chunk.chunk_id, plan.output["format"])
-            t, fault = time.time(), None
+            files = max(1, math.ceil((chunk.est_bytes or 0) / sinks.FILE_BYTES))
+            t, fault, told = time.time(), None, None
             for attempt in range(RETRIES + 1):
                 try:
-                    path = sinks.write_chunk(rows, folder, name, plan.output["format"], **{k: v for k, v in intent.target_config.items() if k in ("compression", "sep", "header", "null_value", "encoding")})
-                    n = (self.spark.read.parquet(path) if plan.output["format"] == "parquet" else self.spark.read.option("header", True).csv(path)).count()
-                    return {"chunk_id": chunk.chunk_id, "status": "success", "rows": n, "duration_seconds": time.time() - t, "output_path": path, "error": None}
+                    told = sinks.write_chunk(rows, folder, name, plan.output["format"], files, **options)
+                    break
                 except Exception as e:  # any failure of a chunk is tried again and then told
                     fault = str(e)[:300]
                     if attempt < RETRIES:
-                        time.sleep(min(2.0**attempt, LONGEST_PAUSE) * 0.1)
-            return {"chunk_id": chunk.chunk_id, "status": "failed", "rows": 0, "duration_seconds": time.time() - t, "output_path": None, "error": fault}
+                        self.sleep(min(2.0**attempt, LONGEST_PAUSE))
+            took = time.time() - t
+            out = {"chunk_id": chunk.chunk_id, "worker_id": mine.number, "status": "success" if told else "failed", "rows": told.rows if told else 0, "bytes": chunk.est_bytes or 0, "duration_seconds": took, "query_ms": 0.0}
+            out |= {"output_path": told.paths[0] if told and told.paths else None, "paths": list(told.paths) if told else [], "error": None if told else fault}
+            if rule:  # what the source takes for one row now; pauses aren't part of a chunk's time
+                asked = time.perf_counter()
+                rows.limit(1).collect()
+                out["query_ms"] = (time.perf_counter() - asked) * 1000
+                if wait := mine.pacer.pause(out["query_ms"], told is not None):
+                    self.sleep(wait)
+            return out
 
         with ThreadPoolExecutor(plan.workers) as pool:
             done = list(pool.map(one, plan.dispatch()))
@@ -213,14 +235,20 @@ class Engine:
         rows, busy = sum(c["rows"] for c in ok), sum(c["duration_seconds"] for c in ok)
         status = "success" if len(ok) == len(done) else "failed"
         effective = max(1.0, min(float(plan.workers), busy / seconds)) if ok else float(plan.workers)
+        breaches = sum(rule.breached(c["query_ms"]) for c in ok) if rule else 0
+        confidence = self.spark.createDataFrame([(breaches, len(done))], "activations long, chunks long").transform(rule_confidence).first()["confidence"] if breaches else "full"
         before = self.store.recent(intent.source_type, intent.object_name, 2)
-        self.store.append("chunks", *({"run_id": rid, **{k: c[k] for k in ("chunk_id", "status", "rows", "duration_seconds", "output_path", "error")}} for c in done))
-        self.store.append("runs", {"run_id": rid, "end_time": _now(), "status": status, "effective_workers": effective, "total_rows": rows, "total_bytes": plan.est_bytes, "throughput": rows / seconds, "duration_seconds": seconds, "confidence": "full"})
-        schema = json.dumps(plan.schema_hash)
+        self.store.append("chunks", *({"run_id": rid, **{k: c[k] for k in ("chunk_id", "worker_id", "status", "rows", "bytes", "duration_seconds", "output_path", "error")}} for c in done))
+        per_worker: dict[int, list] = {}
+        for c in done:
+            per_worker.setdefault(c["worker_id"], []).append(c)
+        share = {w: min(100.0, sum(c["duration_seconds"] for c in cs) / seconds * 100) for w, cs in per_worker.items()}
+        self.store.append("workers", *({"run_id": rid, "worker_id": w, "chunks": len(cs), "rows": sum(c["rows"] for c in cs), "bytes": sum(c["bytes"] for c in cs), "busy_pct": share[w], "idle_pct": 100.0 - share[w]} for w, cs in sorted(per_worker.items())))
+        self.store.append("runs", {"run_id": rid, "end_time": _now(), "status": status, "effective_workers": effective, "total_rows": rows, "total_bytes": plan.est_bytes, "throughput": rows / seconds, "duration_seconds": seconds, "confidence": confidence})
         if ok:
-            sinks.write_manifest(self.spark, folder, rid, "complete" if status == "success" else "partial", plan.output["format"], json.loads(schema))
+            self.store.append("heuristics", {"source": intent.source_type, "object": intent.object_name, "metric": "throughput_baseline", "value": rows / seconds, "confidence": 1.0 if confidence == "full" else 0.5})
+            sinks.write_manifest(self.spark, folder, rid, "complete" if status == "success" else "partial", plan.output["format"], plan.schema_hash, [p for c in ok for p in c["paths"]] or None)
         anomaly, decision, then = self._learn(intent, plan, rid, rows / seconds, status, [c["duration_seconds"] for c in ok], before)
-        del bounds
         return Result(rid, status, rows, seconds, rows / seconds, effective, done, anomaly, decision, then)
 
     def _learn(self, intent: Intent, plan: Plan, rid: str, tp: float, status: str, durations: list[float], before: list[dict]) -> tuple[dict, str, int]:
@@ -259,7 +287,8 @@ class Engine:
             raise KeyError(f"no run {run!r}")
         own = F.col("run_id") == row["run_id"]
         chunks = [r.asDict() for r in self.store.latest("chunks").where(own).orderBy("chunk_id").collect()]
-        return {"run": row, "chunks": chunks, "deviation": self.store.one("deviations", run_id=row["run_id"])}
+        workers = [r.asDict() for r in self.store.latest("workers").where(own).orderBy("worker_id").collect()]
+        return {"run": row, "chunks": chunks, "workers": workers, "deviation": self.store.one("deviations", run_id=row["run_id"])}
 
     def history(self, source: str, obj: str, n: int = 10) -> list[dict[str, Any]]:
         rows = self.store.recent(source, obj, n)
@@ -278,7 +307,7 @@ class Engine:
     def metrics(self, run: str) -> dict[str, Any]:
         told = self.explain(run)
         rates = [c["rows"] / c["duration_seconds"] for c in told["chunks"] if c["status"] == "success" and c["duration_seconds"] > 0]
-        return {"run_id": told["run"]["run_id"], "peak": max(rates, default=0.0), "low": min(rates, default=0.0), "effective_workers": told["run"]["effective_workers"]}
+        return {"run_id": told["run"]["run_id"], "peak": max(rates, default=0.0), "low": min(rates, default=0.0), "effective_workers": told["run"]["effective_workers"], "workers": told["workers"]}
 
     def inspect(self, source: str, obj: str) -> dict[str, Any]:
         """Whether the next run can be trusted: health, trend, anomalies of the last three runs, profile age, controller."""

@@ -397,7 +397,14 @@ def rule_confidence(spark, d):
     return execution.rule_confidence(_values(spark, _FIRED)).select("id", _r("rate"), "impact", "confidence")
 
 
-@query()
+@query(
+    f"""with recursive {_CHUNKS}, c as (select run_id::bigint as run_id, row_number() over (partition by run_id order by lpad(chunk_id::varchar, 12, '0') || '.' || line::varchar) as i, duration / 1000 as ms from chunks),
+  f as (select *, ms > 55 as high from c),
+  w as (select run_id, 0::bigint as i, 0 as passed, 0::bigint as activations, 0::double as paused_s, 0::bigint as breaches from c where i = 1
+    union all select w.run_id, f.i, case when high and activations < 10 and passed >= 3 then 0 else passed + 1 end, activations + (high and activations < 10 and passed >= 3)::int,
+    paused_s + case when high and activations < 10 and passed >= 3 then least(pow(2, activations), 30) else 0 end, breaches + high::int from w join f on f.run_id = w.run_id and f.i = w.i + 1)
+  select run_id, i as chunks, activations, paused_s, breaches, case when breaches / i <= 0.05 then 'note' when breaches / i <= 0.2 then 'moderate' else 'low' end as impact from w qualify i = max(i) over (partition by run_id)"""
+)
 def adaptive_backoff(spark, d):
     rows = chunk_log(spark, d).select(F.col("run_id").cast("long").alias("run_id"), F.struct("chunk_id", "line").alias("seq"), (F.col("duration") / 1000).alias("query_ms"))
     return backoff.replay(rows.select("run_id", F.concat_ws(".", F.lpad("seq.chunk_id", 12, "0"), "seq.line").alias("seq"), "query_ms"), backoff.Rule(threshold_ms=55.0))
@@ -646,10 +653,15 @@ def object_key(spark, d):
     return load(spark, d, "events").select("user_id").distinct().select(key.alias("key"), F.sha2(key, 256).alias("key_hash"))
 
 
-@query("select 'orders' as name, sha256('6|o_orderkey|int64|145') as schema_hash union all select 'events', sha256('6|event_id|int64|60')")
+_SCHEMAS = """select 'orders' as name, sha256(string_agg(column_name, '|' order by column_name)) as names_hash, count(*) as n_columns from (describe orders)
+  union all select 'events', sha256(string_agg(column_name, '|' order by column_name)), count(*) from (describe events)"""
+
+
+@query(_SCHEMAS)
 def schema_hash(spark, d):
-    rows = [("orders", "o_orderkey", 145), ("events", "event_id", 60)]
-    parts = [
-        spark.range(1).select(F.lit(n).alias("name"), F.sha2(F.concat_ws("|", F.lit(str(len(load(spark, d, n).columns))), F.lit(k), F.lit("int64"), F.lit(str(w))), 256).alias("schema_hash")) for n, k, w in rows
-    ]
-    return parts[0].unionByName(parts[1])
+    """Of the real columns; sinks.schema_hash covers their types, too, which the two engines name differently."""
+    out = []
+    for name in ("orders", "events"):
+        columns = sorted(load(spark, d, name).columns)
+        out.append((name, "|".join(columns), len(columns)))
+    return spark.createDataFrame(out, "name string, names string, n_columns long").select("name", F.sha2("names", 256).alias("names_hash"), "n_columns")

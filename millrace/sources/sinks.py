@@ -5,10 +5,15 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
 from datetime import datetime, timezone
 from urllib.parse import urlsplit
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 LEAST_ROTATION, PART_MB, GCS_STEP = 1_000_000, 5, 256 * 1024
@@ -79,35 +84,107 @@ def write(df: DataFrame, path: str, fmt: str = "parquet", *, compression: str =
         out.option("compression", compression).parquet(path)
 
 
-def write_chunk(df: DataFrame, folder: str, name: str, fmt: str = "parquet", **options) -> str:
-    """One chunk as exactly one file of that name: a single-task write, then a rename in the same folder."""
+#: Bytes of estimated rows that one file of a chunk should hold.
+FILE_BYTES = 256 << 20
+
+
+@dataclass(frozen=True)
+class Written:
+    """What became of a chunk: its files, in order, and the rows that went into them."""
+
+    paths: tuple[str, ...]
+    rows: int
+
+
+def _files(fs, folder, wanted, below: str = "") -> list[tuple[str, object]]:
+    """(folder below the root, path) of the files under folder whose names are wanted, in order; hidden folders don't count."""
+    out = []
+    for s in sorted(fs.listStatus(folder), key=lambda s: s.getPath().getName()):
+        name = s.getPath().getName()
+        if s.isDirectory():
+            if not name.startswith((".", "_")):
+                out += _files(fs, s.getPath(), wanted, f"{below}{name}/")
+        elif wanted(name):
+            out.append((below, s.getPath()))
+    return out
+
+
+def _is_part(name: str) -> bool:
+    return name.startswith("part-")
+
+
+def write_chunk(df: DataFrame, folder: str, name: str, fmt: str = "parquet", files: int = 1, **options) -> Written:
+    """One chunk as a file of that name, or as numbered segments where it has several files.
+
+    Rows are written by up to ``files`` tasks to a folder beside the target; every
+    part file is then renamed, none is left behind, and only then the folder goes. Files of an earlier
+    try of the same chunk are replaced. Rows are counted while they are written.
+    """
     spark = df.sparkSession
     temp = f"{folder}/._{name}"
-    write(df.coalesce(1), temp, fmt, **options)
+    seen = Observation()
+    write(df.observe(seen, F.count(F.lit(1)).alias("rows")).coalesce(files), temp, fmt, **options)
     jvm = spark._jvm
-    source = jvm.org.apache.hadoop.fs.Path(temp)
+    source, root = jvm.org.apache.hadoop.fs.Path(temp), jvm.org.apache.hadoop.fs.Path(folder)
     fs = source.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    part = next(s.getPath() for s in fs.listStatus(source) if s.getPath().getName().startswith("part-"))
-    target = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-    fs.delete(target, True)
-    if not fs.rename(part, target):
-        raise OSError(f"could not move {part} to {target}")
+    stem, ext = split_name(name)
+    earlier = re.compile(rf"{re.escape(stem)}(_part[0-9]{{3,}})?\.{re.escape(ext)}")
+    for _, path in _files(fs, root, earlier.fullmatch):
+        fs.delete(path, True)
+    parts = _files(fs, source, _is_part)
+    if not parts:  # a partitioned write of no rows
+        fs.delete(source, True)
+        return Written((), int(seen.get["rows"]))
+    moved = []
+    for number, (below, part) in enumerate(parts):
+        if below:
+            fs.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{folder}/{below}"))
+        target = jvm.org.apache.hadoop.fs.Path(f"{folder}/{below}{name if len(parts) == 1 else segment_name(name, number)}")
+        fs.delete(target, True)
+        if not fs.rename(part, target):
+            raise OSError(f"could not move {part} to {target}")
+        moved.append(target.toString())
+    if _files(fs, source, _is_part):
+        raise OSError(f"part files are left in {source}")
     fs.delete(source, True)
-    return f"{folder}/{name}"
+    return Written(tuple(moved), int(seen.get["rows"]))
 
 
-def inventory(spark: SparkSession, folder: str, fmt: str = "parquet") -> DataFrame:
-    """path, bytes, sha256, n_rows of the data files under folder.
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path) -> (path, bytes, sha256), each file read in pieces."""
+    for batch in batches:
+        rows = []
+        for uri in batch.column(0).to_pylist():
+            fs, path = pafs.FileSystem.from_uri(uri)
+            total, h = 0, hashlib.sha256()
+            with fs.open_input_stream(path) as f:
+                while piece := f.read(8 << 20):
+                    total += len(piece)
+                    h.update(piece)
+            rows.append((uri, total, h.hexdigest()))
+        cols = list(zip(*rows, strict=True)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.string()), strict=True)], ["path", "bytes", "sha256"])
 
-    Checksums read each file once in the task that holds it; files are chunk-sized.
+
+def inventory(spark: SparkSession, folder: str, fmt: str = "parquet", paths: list[str] | None = None) -> DataFrame:
+    """path, bytes, sha256, n_rows of the data files under folder, or of those given.
+
+    Local files are hashed in pieces by the tasks that read them, files of a store that only Spark reads as a whole.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{fmt}").option("recursiveFileLookup", True).load(folder)
-    files = files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{fmt}")
-    rows = reader.parquet(folder) if fmt == "parquet" else reader.option("header", True).csv(folder)
-    counts = rows.groupBy(F.input_file_name().alias("path")).agg(F.count(F.lit(1)).alias("n_rows"))
-    tail = lambda c: F.regexp_extract(c, r"([^/]+)$", 1)
-    return files.join(counts.select(tail(F.col("path")).alias("_name"), "n_rows"), tail(F.col("path")) == F.col("_name"), "left").select("path", "bytes", "sha256", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
+    source = paths or folder
+    listed = reader.format("binaryFile").load(source).select("path")
+    if folder.startswith("file:") or "://" not in folder:
+        local = listed.select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"))
+        files = local.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(_digests, "path string, bytes long, sha256 string")
+    else:
+        files = reader.format("binaryFile").load(source).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{fmt}")
+    rows = reader.parquet(*(paths or [folder])) if fmt == "parquet" else reader.option("header", True).csv(source)
+    counts = rows.select(F.col("_metadata.file_path").alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("n_rows"))
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    counts = counts.select(plain(F.col("path")).alias("_name"), "n_rows")
+    return files.join(counts, plain(F.col("path")) == F.col("_name"), "left").select("path", "bytes", "sha256", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
 
 
 def schema_hash(df: DataFrame) -> str:
@@ -115,9 +192,9 @@ def schema_hash(df: DataFrame) -> str:
     return hashlib.sha256(df.schema.json().encode()).hexdigest()
 
 
-def write_manifest(spark: SparkSession, folder: str, run_id: str, status: str, fmt: str = "parquet", schema: str | None = None) -> dict:
-    """Put the list of files beside them, after the commit; one row a file."""
-    files = [r.asDict() for r in inventory(spark, folder, fmt).orderBy("path").collect()]
+def write_manifest(spark: SparkSession, folder: str, run_id: str, status: str, fmt: str = "parquet", schema: str | None = None, paths: list[str] | None = None) -> dict:
+    """Put the list of the run's files (paths; all under folder where none are given) beside them, after the commit; one row a file."""
+    files = [r.asDict() for r in inventory(spark, folder, fmt, paths).orderBy("path").collect()]
     body = {
         "run_id": run_id,
         "status": status,

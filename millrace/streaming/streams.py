@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,25 +45,22 @@ def baselines(runs: DataFrame, n: int = 20) -> DataFrame:
 
 
 def decisions(runs: DataFrame, rules: controller.Rules = controller.RULES) -> DataFrame:
-    """The controller's decision after each run; the state of an object is its window and worker counts."""
+    """The controller's decision after each run, as the batch fold gives it; an object's state is its last ten runs and the controller's."""
     import pandas as pd
 
     def step(key, batches: Iterator, state: GroupState):
         if state.exists:
-            workers, previous, mean, converged, holds, window = state.get
-            at, window = controller.State(workers, previous, mean, converged, holds), list(window)
+            workers, previous, mean, converged, holds, used, seen = state.get
+            at, past = controller.State(workers, previous, mean, converged, holds), deque(zip(used, seen, strict=True))
         else:
-            at, window = controller.cold_start(rules), []
-        seen = {at.workers: window}
-        for pdf in batches:
-            out = []
-            for r in pdf.sort_values(["start_time", "run_id"]).itertuples():
-                used = at.workers
-                seen.setdefault(used, []).append(float(r.throughput))
-                seen[used] = seen[used][-rules.window :]
-                decision, reason, at = controller.step([t for t in seen[used] if t > 0], at, rules)
-                out.append((r.run_id, key[0], used, decision, reason, at.workers))
-            yield pd.DataFrame(out, columns=["run_id", "object", "workers", "decision", "reason", "next_workers"])
-        state.update((at.workers, at.previous, at.previous_mean, at.converged, at.holds, seen.get(at.workers, [])))
-
-    return _fold(step, "run_id long, object long, workers int, decision string, reason string, next_workers int", "workers int, previous int, mean double, converged boolean, holds int, past array<double>", runs)
+            at, past = controller.cold_start(rules), deque()
+        rows = pd.concat(list(batches)).sort_values(["start_time", "run_id"])
+        out = []
+        for r in rows.itertuples():
+            before = at.workers
+            decision, reason, at = controller.advance(past, float(r.throughput), at, rules)
+            out.append((r.run_id, key[0], before, decision, reason, at.workers))
+        yield pd.DataFrame(out, columns=["run_id", "object", "workers", "decision", "reason", "next_workers"])
+        state.update((at.workers, at.previous, at.previous_mean, at.converged, at.holds, [w for w, _ in past], [t for _, t in past]))
+
+    return _fold(step, "run_id long, object long, workers int, decision string, reason string, next_workers int", "workers int, previous int, mean double, converged boolean, holds int, used array<int>, past array<double>", runs)

@@ -3,8 +3,10 @@
 import random
 import statistics
 
+import pytest
+
 from millrace.operators.controller import RULES, State, cold_start, fold, replay, step
-from millrace.operators.simulation import Source
+from millrace.operators.simulation import Workload
 
 
 def test_cold_start_and_first_runs_hold():
@@ -44,9 +46,9 @@ def test_improvement_is_never_acted_on():
 
 
 def _loop(seed, runs, workers=2):
-    source, state, used, out = Source(rows=5_000_000, peak=220_000, best_workers=3, noise=0.13, seed=seed), State(workers), [], []
-    for _ in range(runs):
-        tp = source.run(state.workers)["throughput"]
+    source, state, used, out = Workload(peak_workers=3, spread=0.05, seed=seed), State(workers), [], []
+    for i in range(runs):
+        tp = source.run(i, state.workers)["throughput"]
         used.append((state.workers, tp))
         window = [t for w, t in used if w == state.workers][-RULES.window :]
         _, _, state = step(window, state)
@@ -82,11 +84,29 @@ def test_replay_equals_fold(spark):
 
 
 def test_simulated_source():
-    a, b = Source(seed=3), Source(seed=3)
-    assert [a.run(4)["throughput"] for _ in range(5)] == [b.run(4)["throughput"] for _ in range(5)]
-    assert Source(noise=0).expected(6) == 50_000 and Source(noise=0).expected(7) < 50_000
-    assert Source(curve="linear").expected(3) == 25_000
-    skewed = Source(skew="power_law", skew_strength=1.0).durations(200, 200.0)
-    assert max(skewed) / statistics.median(skewed) > 3
-    grown = Source(growth=0.1, rows=100)
-    assert [grown.run(1)["rows"] for _ in range(3)] == [100, 110, 121]
+    a, b = list(Workload(seed=3).history([4] * 5)), list(Workload(seed=3).history([4] * 5))
+    assert a == b and len({r["throughput"] for r in a}) == 5
+    curve = [Workload(peak_workers=6).mean_throughput(w) for w in range(1, 13)]
+    assert max(range(12), key=curve.__getitem__) + 1 == 6
+    uneven = Workload(evenness=0.3).run(1, 4, 200)["durations"]
+    even = Workload(evenness=500.0).run(1, 4, 200)["durations"]
+    assert max(uneven) / statistics.median(uneven) > 3 > max(even) / statistics.median(even)
+
+
+def _naive(throughputs):
+    """The rule as said: a decision looks at the last ten runs, and of these at the last five with the current worker count."""
+    state, runs, out = cold_start(), [], []
+    for tp in throughputs:
+        runs.append((state.workers, tp))
+        window = [t for w, t in runs[-10:] if w == state.workers and t > 0][-5:]
+        at = state.workers
+        decision, reason, state = step(window, state)
+        out.append((at, decision, reason, state.workers, state.converged))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_fold_looks_back_over_ten_runs(seed):
+    rng = random.Random(seed)
+    history = [rng.choice([100.0, 90.0, 60.0, 30.0, 200.0, 0.0]) * rng.uniform(0.9, 1.1) for _ in range(80)]
+    assert fold(history) == _naive(history)
