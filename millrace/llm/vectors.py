@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, materialize, table
 
-TREES, SAMPLE, LEAF, BLOCK, SPILL, TIGHT, SEED = 12, 16384, 512, 512, 0.08, 0.9, 5
+TREES, SAMPLE, LEAF, BLOCK, SPILL, TIGHT, SEED = 12, 16384, 512, 512, 0.05, 0.9, 5
 #: Leaves of more than so many times LEAF rows are split again, by trees of so many levels fitted on so many rows.
 MOST, LEVELS, LEAF_SAMPLE = 4, 4, 1024
 
