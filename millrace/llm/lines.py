@@ -6,8 +6,9 @@ one segment more than its edits. By pigeonhole, of two lines within that many
 edits one has a segment that the other holds unchanged, at a place that its
 length and the segment's number bound. The segments are the index; each line probes it with the few substrings
 that the multi-match-aware rule allows for its own and each smaller length.
-Lines that meet, and whose counts of letters and
-digits could belong to lines so near, are verified by a banded bit-parallel edit distance: the
+Keys are counted first; lines that share one are read again. Those that meet, and
+whose counts of letters and digits could belong to lines so near, are verified by a
+banded bit-parallel edit distance: the
 vertical differences of 2 * ``EDITS`` + 1 diagonals are the bits of two
 integers that one pass over the characters updates.
 
@@ -38,10 +39,11 @@ from .common import connected_components, discard, materialize, table
 EDITS, SHORTEST = 2, 1
 #: From so many characters on, a line may differ from its like by 1 and by 2 edits; shorter ones must be equal.
 LIMITS = {1: 10, 2: 20}
-#: Letters whose counts, modulo 16, make a line's sketch; one edit changes two counts by one at most.
-LETTERS = "etaonihrsdulg"
+#: Characters whose counts, modulo 8, make a line's sketch, the common ones first; one edit changes two counts by one at most.
+LETTERS = " etaonihrsdulgcmfwypbvkxjqz"
 #: The same for the digits, in which the lines of one template differ.
 DIGITS = "0123456789"
+SKETCH = ["s1", "s2", "s3"]
 
 
 def _places(edits: int, less: int) -> list[tuple[int, int]]:
@@ -75,19 +77,34 @@ def probe_keys() -> list[tuple[str, int, int, bool, bool]]:
     return out
 
 
-def sketch(chars: str):
-    """Counts of chars in line, modulo 16, packed into one number of four bits each."""
-    count = lambda c: (F.octet_length("line") - F.octet_length(F.replace("line", c, F.lit("")))).bitwiseAND(F.lit(15)).cast("long")
-    return F.aggregate(F.array(*(F.lit(c) for c in reversed(chars))), F.lit(0).cast("long"), lambda total, c: F.shiftleft(total, 4).bitwiseOR(count(c)))
+def _counted(text, chars: str):
+    """(low, high, rest): counts of chars in text, modulo 8, four bits each, in two numbers, and text without them.
 
+    A count's four bits are its place on a ring of eight codes whose neighbours differ in one bit.
+
+    Each character is taken out of what those before it have left, so the text gets
+    shorter with every step. A step notes what the step before it took out.
+    """
+    ring = lambda n: F.call_function("shiftright", F.lit(0x8CEF7310), n.bitwiseAND(F.lit(7)) * 4).bitwiseAND(F.lit(15))
+    taken = lambda state: ring(state["before"] - F.octet_length(state["rest"]))
+    low = lambda state: F.shiftleft(state["low"], 4).bitwiseOR(taken(state))
+    high = lambda state: F.shiftleft(state["high"], 4).bitwiseOR(F.shiftrightunsigned(state["low"], 60))
+    start = F.struct(F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"), text.alias("rest"), F.octet_length(text).alias("before"))
+    step = lambda state, c: F.struct(low(state).alias("low"), high(state).alias("high"), F.replace(state["rest"], c, F.lit("")).alias("rest"), F.octet_length(state["rest"]).alias("before"))
+    last = lambda state: F.struct(low(state).alias("low"), high(state).alias("high"), state["rest"].alias("rest"))
+    return F.aggregate(F.array(*(F.lit(c) for c in chars)), start, step, last)
+
+
+def with_sketches(lines: DataFrame) -> DataFrame:
+    """lines (line) with s1, s2 (counts of LETTERS) and s3 (counts of DIGITS, which hardly any line has)."""
+    lines = lines.withColumn("_l", _counted(F.col("line"), LETTERS))
+    digits = F.when(F.col("_l.rest").rlike("[0-9]"), _counted(F.col("_l.rest"), DIGITS)["low"]).otherwise(F.lit(0).cast("long"))
+    return lines.select("*", F.col("_l.low").alias("s1"), F.col("_l.high").alias("s2"), digits.alias("s3")).drop("_l")
 
-def _sketches_apart(a, b, chars: str):
-    """A lower bound of twice the edit distance of two lines, from their sketches: counts differ by their distance on a circle at least."""
-    total = F.lit(0)
-    for i in range(len(chars)):
-        d = F.abs(F.shiftright(a, 4 * i).bitwiseAND(F.lit(15)) - F.shiftright(b, 4 * i).bitwiseAND(F.lit(15)))
-        total = total + F.least(d, F.lit(16) - d)
-    return total
+
+def _sketches_apart(pairs: list[tuple]):
+    """A lower bound of twice the edit distance of two lines, from their sketches: the bits in which they differ."""
+    return sum((F.bit_count(a.bitwiseXOR(b)) for a, b in pairs), F.lit(0))
 
 
 def _let(value, body):
@@ -141,19 +158,36 @@ def _lines(docs: DataFrame) -> DataFrame:
     return every.where(F.length("line") >= SHORTEST).where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("n", F.length("line"))
 
 
+def _meeting(keyed: DataFrame) -> DataFrame:
+    """Hashes h of the lines that share a segment's key with another line; the keys are counted, no pair is made."""
+    probes, found = probe_keys(), []
+    for segment in range(EDITS + 1):
+        here = [(f"p{x}", least, own) for x, (_, i, least, _, own) in enumerate(probes) if i == segment]
+        probe = F.array(*(F.struct(F.col(name).alias("key"), F.lit(own).alias("own"), F.lit(least).alias("least")) for name, least, own in here))
+        rows = keyed.where(F.col("n") >= min(LIMITS.values())).select("h", "n", F.explode(probe).alias("p")).where(F.col("n") >= F.col("p.least")).select("h", "p.key", "p.own")
+        counted = rows.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.max("own").alias("own"))
+        keys = materialize(counted.where("own and low < high").select("key"), "line-shared-keys")
+        found.append(materialize(rows.join(keys, "key").select("h").distinct(), "lines-meeting"))
+        discard(keys)
+    lines = found[0]
+    for more in found[1:]:
+        lines = lines.unionByName(more)
+    return lines.distinct()
+
+
 def _near_pairs(keyed: DataFrame) -> DataFrame:
     """Pairs (u, v) of line hashes that share a segment's key and have counts near enough."""
     probes, found = probe_keys(), []
     for segment in range(EDITS + 1):
         here = [(f"p{x}", least, equal, own) for x, (_, i, least, equal, own) in enumerate(probes) if i == segment]
         (own, shortest), = [(name, least) for name, least, _, mine in here if mine]
-        left = keyed.where(F.col("n") >= shortest).select("h", "s", "g", F.col(own).alias("key"))
+        left = keyed.where(F.col("n") >= shortest).select("h", *SKETCH, F.col(own).alias("key"))
         probe = F.array(*(F.struct(F.col(name).alias("key"), F.lit(equal).alias("equal"), F.lit(least).alias("least")) for name, least, equal, _ in here))
-        right = keyed.select(F.col("h").alias("other"), F.col("s").alias("s2"), F.col("g").alias("g2"), "n", F.explode(probe).alias("p")).where(F.col("n") >= F.col("p.least"))
-        right = right.select("other", "s2", "g2", F.col("p.key").alias("key"), F.col("p.equal").alias("equal")).hint("merge")
+        right = keyed.select(F.col("h").alias("other"), *(F.col(c).alias(f"other_{c}") for c in SKETCH), "n", F.explode(probe).alias("p")).where(F.col("n") >= F.col("p.least"))
+        right = right.select("other", *(f"other_{c}" for c in SKETCH), F.col("p.key").alias("key"), F.col("p.equal").alias("equal")).hint("merge")
         # Lines of one length would meet in both directions: the probe at its own length takes only smaller partners.
         one_way = (F.col("h") < F.col("other")) | (~F.col("equal") & (F.col("h") != F.col("other")))
-        counts = _sketches_apart(F.col("s"), F.col("s2"), LETTERS) + _sketches_apart(F.col("g"), F.col("g2"), DIGITS)
+        counts = _sketches_apart([(F.col(c), F.col(f"other_{c}")) for c in SKETCH])
         met = left.join(right, (left["key"] == right["key"]) & one_way & (counts <= 2 * EDITS))
         found.append(materialize(met.select(F.least("h", "other").alias("u"), F.greatest("h", "other").alias("v")).distinct(), "line-pairs"))
     pairs = found[0]
@@ -165,22 +199,24 @@ def _near_pairs(keyed: DataFrame) -> DataFrame:
 def line_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, t (hash of the text), line_no (from 0) of the lines that a group's earlier line makes needless."""
     lines = _lines(docs)
-    digits = F.when(F.col("line").rlike("[0-9]"), sketch(DIGITS)).otherwise(F.lit(0).cast("long"))
     probes = [F.expr(c).alias(f"p{x}") for x, (c, *_) in enumerate(probe_keys())]
-    hashed = with_segments(lines).select("doc_id", "t", "line_no", "n", F.xxhash64("line").alias("h"), F.hash("line").alias("h2"), sketch(LETTERS).alias("s"), digits.alias("g"), *probes)
+    hashed = with_segments(lines).select("doc_id", "t", "line_no", "n", F.xxhash64("line").alias("h"), F.hash("line").alias("h2"), *probes)
     # Equal lines are one row; doc_id, line_no and t of the first tell where it is.
-    values = ["n", "s", "g", *(f"p{x}" for x in range(len(probes)))]
+    values = ["n", *(f"p{x}" for x in range(len(probes)))]
     same = hashed.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "line_no", "t")).alias("first"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in values))
     keyed = materialize(same, "line-keys")
     nodes = materialize(keyed.select("h", "h2", "first", "copies"), "lines")
-    pairs = materialize(_near_pairs(keyed), "line-pairs")
-    discard(keyed)
 
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("h")).distinct()
-    places = nodes.select("h", "first.doc_id", "first.line_no", "first.t").join(wanted.hint("merge"), "h", "left_semi")
+    # Only lines that meet another are read again, for their sketches and distances.
+    places = nodes.select("h", "first.doc_id", "first.line_no", "first.t").join(_meeting(keyed).hint("merge"), "h", "left_semi")
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("t"))
-    found = texts.join(places, ["doc_id", "t"]).select("h", F.get(F.split("text", "\n"), F.col("line_no")).alias("line")).groupBy("h").agg(F.min("line").alias("line"))
-    found = materialize(found, "line-texts")
+    at = places.groupBy("doc_id", "t").agg(F.collect_list(F.struct("h", "line_no")).alias("places"))
+    found = texts.join(at.hint("merge"), ["doc_id", "t"]).select(F.split("text", "\n").alias("lines"), F.explode("places").alias("p"))
+    found = found.select("p.h", F.get("lines", F.col("p.line_no")).alias("line")).groupBy("h").agg(F.min("line").alias("line"))
+    found = materialize(with_sketches(found), "line-texts")
+    pairs = materialize(_near_pairs(keyed.join(found.select("h", *SKETCH).hint("merge"), "h")), "line-pairs")
+    discard(keyed)
+
     both = pairs.join(found.select(F.col("h").alias("u"), F.col("line").alias("a")), "u").join(found.select(F.col("h").alias("v"), F.col("line").alias("b")), "v")
     limit = F.when(F.least(F.char_length("a"), F.char_length("b")) >= LIMITS[EDITS], EDITS).otherwise(1)
     links = materialize(both.where(banded_distance("a", "b") <= limit).select("u", "v"), "line-links")
