@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
     schema = "doc_id long, t long, n_shingles long, f1 long, f2 long, " + ", ".join(f"{s} long" for s in _S)
-    sigs = materialize(texts.select("doc_id", "t", "text").mapInArrow(_signatures(k), schema), "minhash")
+    sigs = materialize(texts.select("doc_id", "t", "text").mapInArrow(W.tidy(_signatures(k)), schema), "minhash")
     same = ["f1", "f2", "n_shingles"]
     # A node is a shingle set, named by a hash; its text is that of its least id.
     reps = sigs.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min(F.struct("doc_id", "t")).alias("m"), *(F.first(s).alias(s) for s in _S))
@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     some = texts_of(pairs.select(F.explode(F.array("u", "v")).alias("id")))
     one, two = (some.select(F.col("id").alias(x), F.col("text").alias(f"t{x}")) for x in "uv")
-    links = materialize(pairs.join(two, "v").join(one, "u").select("u", "v", "tu", "tv").mapInArrow(_confirm(k, percent), "u long, v long"), "minhash-links")
+    links = materialize(pairs.join(two, "v").join(one, "u").select("u", "v", "tu", "tv").mapInArrow(W.tidy(_confirm(k, percent)), "u long, v long"), "minhash-links")
     discard(some)
     comps = connected_components(links)
     if not reps_of.isEmpty():

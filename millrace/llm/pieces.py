@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import words as W
 from .common import table
 
 MARK = "▁"
@@ -270,7 +271,7 @@ def encoded(docs: DataFrame, path: str = MODEL, check: bool = False) -> DataFram
     from pyspark.sql import types as T
 
     fields = [docs.schema[c] for c in kept] + [T.StructField("ids", T.ArrayType(T.IntegerType()))] + ([T.StructField("round_trip", T.BooleanType())] if check else [])
-    return docs.select(*kept).mapInArrow(run, T.StructType(fields))
+    return docs.select(*kept).mapInArrow(W.tidy(run), T.StructType(fields))
 
 
 def decoded(rows: DataFrame, path: str = MODEL) -> DataFrame:
@@ -286,7 +287,7 @@ def decoded(rows: DataFrame, path: str = MODEL) -> DataFrame:
 
     from pyspark.sql import types as T
 
-    return rows.select(*kept).mapInArrow(run, T.StructType([*(rows.schema[c] for c in kept), T.StructField("text", T.StringType())]))
+    return rows.select(*kept).mapInArrow(W.tidy(run), T.StructType([*(rows.schema[c] for c in kept), T.StructField("text", T.StringType())]))
 
 
 def op8_sentencepiece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,7 +121,7 @@ def row_key(docs: DataFrame):
 def text_statistics(docs: DataFrame) -> DataFrame:
     """doc_id, row (its key), lang, source and the five counts of each row's whole text."""
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row"), *(F.col(c).cast("string").alias(c) for c in ("lang", "source", "text")))
-    return some.mapInArrow(_stats, "doc_id long, row long, lang string, source string, " + ", ".join(f"{c} long" for c in STATS))
+    return some.mapInArrow(W.tidy(_stats), "doc_id long, row long, lang string, source string, " + ", ".join(f"{c} long" for c in STATS))
 
 
 def features() -> list:
@@ -136,7 +136,7 @@ _SUMS = [f"s{i}" for i in range(P)] + [f"c{i}_{j}" for i, j in _PAIRS]
 PER_OCTAVE = 16
 _BY = ["lang_key", "source_key"]
 _MODEL = "lang_key string, source_key string, start int, seen long, logdet double, model array<double>"
-_NAMES = [*_BY, "start", "seen", "logdet", "model"]
+_RESULT = pa.schema([(c, pa.string()) for c in _BY] + [("start", pa.int32()), ("seen", pa.int64()), ("logdet", pa.float64()), ("model", pa.list_(pa.float64()))])
 
 
 def _median(values: np.ndarray, weights: np.ndarray) -> float:
@@ -154,27 +154,33 @@ def _estimate(mean: np.ndarray, cov: np.ndarray) -> tuple[float, list[float]]:
     return round(float(np.linalg.slogdet(cov)[1]), 6), [*mean.tolist(), *np.round(np.linalg.inv(cov), 7).ravel().tolist(), 1.0]
 
 
-def _row(pdf, start: int, seen: int, logdet: float, model: list[float]):
-    import pandas as pd
+def _row(group: pa.Table, start: int, seen: int, logdet: float, model: list[float]) -> pa.Table:
+    values = [*(group[c][0].as_py() for c in _BY), start, seen, logdet, model]
+    return pa.table([[x] for x in values], schema=_RESULT)
 
-    return pd.DataFrame([[*pdf.iloc[0][_BY], start, seen, logdet, model]], columns=_NAMES)
 
+def _by_bin(group: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """group in the order of its bins, the bins and their counts."""
+    group = group.sort_by("bin")
+    return group, group["bin"].to_numpy(), group["n"].to_numpy()
 
-def _medians(pdf):
+
+def _medians(group: pa.Table) -> pa.Table:
     """The first start: medians and median deviations of the binned statistics."""
     mean, dev, seen = np.zeros(P), np.zeros(P), 0
-    for i, part in pdf.groupby("i"):
-        part = part.sort_values("bin")
-        v, w = part["bin"].to_numpy() / 64.0, part["n"].to_numpy()
+    group, bins, counts = _by_bin(group)
+    which = group["i"].to_numpy()
+    for i in np.unique(which):
+        v, w = bins[which == i] / 64.0, counts[which == i]
         mean[i] = _median(v, w)
         apart = np.abs(v - mean[i])
         order = np.argsort(apart, kind="stable")
         dev[i] = 1.4826 * _median(apart[order], w[order])
         seen = int(w.sum())
-    return _row(pdf, 0, seen, *_estimate(mean, np.diag(dev**2)))
+    return _row(group, 0, seen, *_estimate(mean, np.diag(dev**2)))
 
 
-def _moments(sums, m: float) -> tuple[np.ndarray, np.ndarray]:
+def _moments(sums: dict[str, float], m: float) -> tuple[np.ndarray, np.ndarray]:
     mean = np.array([sums[f"s{i}"] / m for i in range(P)])
     cov = np.zeros((P, P))
     for i, j in _PAIRS:
@@ -182,30 +188,30 @@ def _moments(sums, m: float) -> tuple[np.ndarray, np.ndarray]:
     return mean, cov
 
 
-def _subset(pdf):
+def _subset(group: pa.Table) -> pa.Table:
     """A seeded start: the moments of a few rows."""
-    one = pdf.iloc[0]
-    return _row(pdf, int(one["start"]), int(one["n"]), *_estimate(*_moments(one, float(one["n"]))))
+    one = group.slice(0, 1).to_pylist()[0]
+    return _row(group, one["start"], one["n"], *_estimate(*_moments(one, float(one["n"]))))
 
 
-def _concentrate(pdf):
+def _concentrate(group: pa.Table) -> pa.Table:
     """One step: the nearest SUPPORT of the rows give the next location and scatter; the last bin counts in part."""
-    pdf = pdf.sort_values("bin")
-    n = pdf["n"].to_numpy().astype(float)
+    group, _, counts = _by_bin(group)
+    n = counts.astype(float)
     upto = np.cumsum(n)
     need = SUPPORT * upto[-1]
     share = np.clip((need - (upto - n)) / n, 0, 1)
-    sums = {c: float((pdf[c].to_numpy() * share).sum()) for c in _SUMS}
-    return _row(pdf, int(pdf["start"].iloc[0]), int(upto[-1]), *_estimate(*_moments(sums, need)))
+    sums = {c: float((group[c].to_numpy() * share).sum()) for c in _SUMS}
+    return _row(group, group["start"][0].as_py(), int(upto[-1]), *_estimate(*_moments(sums, need)))
 
 
-def _scale(pdf):
+def _scale(group: pa.Table) -> pa.Table:
     """The last element of a model: what makes the median distance that of a normal sample."""
-    pdf = pdf.sort_values("bin")
-    middle = 2.0 ** (_median(pdf["bin"].to_numpy() + 0.5, pdf["n"].to_numpy()) / PER_OCTAVE)
-    model = [float(x) for x in pdf.iloc[0]["model"]]
+    group, bins, counts = _by_bin(group)
+    middle = 2.0 ** (_median(bins + 0.5, counts) / PER_OCTAVE)
+    model = group["model"][0].as_py()
     model[-1] = max(1.0, middle / CHI_MEDIAN)
-    return _row(pdf, 0, int(pdf["n"].sum()), 0.0, model)
+    return _row(group, 0, int(counts.sum()), 0.0, model)
 
 
 def _distance():
@@ -224,16 +230,16 @@ def robust_models(rows: DataFrame) -> DataFrame:
     """lang_key, source_key, seen, model: the estimate of each fit group of rows with x0..x4."""
     sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(_X)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"c{i}_{j}") for i, j in _PAIRS]
     binned = rows.select(*_BY, F.posexplode(F.array(*_X)).alias("i", "x")).groupBy(*_BY, "i", F.floor(F.col("x") * 64).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    models = binned.groupBy(*_BY).applyInPandas(_medians, _MODEL)
+    models = binned.groupBy(*_BY).applyInArrow(_medians, _MODEL)
     # Rows of the seeded starts: a share of each group by a hash of the row, so equal rows go together.
     sizes = rows.groupBy(*_BY).agg(F.count(F.lit(1)).alias("size"))
     drawn = rows.join(sizes, _BY).select(*_BY, *_X, "size", F.explode(F.sequence(F.lit(1), F.lit(STARTS - 1))).alias("start"))
     drawn = drawn.where(F.pmod(F.xxhash64("start", *_X), F.col("size")) < SUBSET).groupBy(*_BY, "start").agg(F.count(F.lit(1)).alias("n"), *sums).where(F.col("n") > P)
-    models = materialize(models.unionByName(drawn.groupBy(*_BY, "start").applyInPandas(_subset, _MODEL)), "mcd")
+    models = materialize(models.unionByName(drawn.groupBy(*_BY, "start").applyInArrow(_subset, _MODEL)), "mcd")
 
     def step(models: DataFrame) -> DataFrame:
         near = rows.join(models.select(*_BY, "start", "model"), _BY).groupBy(*_BY, "start", _bin()).agg(F.count(F.lit(1)).alias("n"), *sums)
-        return materialize(near.groupBy(*_BY, "start").applyInPandas(_concentrate, _MODEL), "mcd")
+        return materialize(near.groupBy(*_BY, "start").applyInArrow(_concentrate, _MODEL), "mcd")
 
     for _ in range(STEPS):
         models = step(models)
@@ -246,7 +252,7 @@ def robust_models(rows: DataFrame) -> DataFrame:
         if moved.isEmpty():
             break
     spread = rows.join(models.select(*_BY, "model"), _BY).groupBy(*_BY, "model", _bin()).agg(F.count(F.lit(1)).alias("n"))
-    return materialize(spread.groupBy(*_BY).applyInPandas(_scale, _MODEL), "mcd")
+    return materialize(spread.groupBy(*_BY).applyInArrow(_scale, _MODEL), "mcd")
 
 
 def quality(docs: DataFrame) -> DataFrame:
