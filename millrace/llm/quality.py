@@ -132,6 +132,8 @@ def features() -> list:
 _X = [f"x{i}" for i in range(P)]
 _PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 _SUMS = [f"s{i}" for i in range(P)] + [f"c{i}_{j}" for i, j in _PAIRS]
+#: Files of a table of models.
+FILES = 4
 #: Bins of each doubling of the distance.
 PER_OCTAVE = 16
 _BY = ["lang_key", "source_key"]
@@ -226,6 +228,11 @@ def _bin():
     return F.greatest(F.lit(-BINS // 2), F.least(F.lit(BINS // 2), F.floor(PER_OCTAVE * F.log2(F.greatest(_distance(), F.lit(1e-12)))))).cast("int").alias("bin")
 
 
+def _kept(models: DataFrame) -> DataFrame:
+    """models, a row a group and start, written as few files; only these rows are dealt anew, not what they come from."""
+    return materialize(models.repartition(FILES), "mcd")
+
+
 def robust_models(rows: DataFrame) -> DataFrame:
     """lang_key, source_key, seen, model: the estimate of each fit group of rows with x0..x4."""
     sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(_X)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"c{i}_{j}") for i, j in _PAIRS]
@@ -235,16 +242,16 @@ def robust_models(rows: DataFrame) -> DataFrame:
     sizes = rows.groupBy(*_BY).agg(F.count(F.lit(1)).alias("size"))
     drawn = rows.join(sizes, _BY).select(*_BY, *_X, "size", F.explode(F.sequence(F.lit(1), F.lit(STARTS - 1))).alias("start"))
     drawn = drawn.where(F.pmod(F.xxhash64("start", *_X), F.col("size")) < SUBSET).groupBy(*_BY, "start").agg(F.count(F.lit(1)).alias("n"), *sums).where(F.col("n") > P)
-    models = materialize(models.unionByName(drawn.groupBy(*_BY, "start").applyInArrow(_subset, _MODEL)), "mcd")
+    models = _kept(models.unionByName(drawn.groupBy(*_BY, "start").applyInArrow(_subset, _MODEL)))
 
     def step(models: DataFrame) -> DataFrame:
         near = rows.join(models.select(*_BY, "start", "model"), _BY).groupBy(*_BY, "start", _bin()).agg(F.count(F.lit(1)).alias("n"), *sums)
-        return materialize(near.groupBy(*_BY, "start").applyInArrow(_concentrate, _MODEL), "mcd")
+        return _kept(near.groupBy(*_BY, "start").applyInArrow(_concentrate, _MODEL))
 
     for _ in range(STEPS):
         models = step(models)
     best = models.groupBy(*_BY).agg(F.min(F.struct("logdet", "start")).alias("best"))
-    models = materialize(models.join(best, _BY).where((F.col("start") == F.col("best.start"))).drop("best"), "mcd")
+    models = _kept(models.join(best, _BY).where((F.col("start") == F.col("best.start"))).drop("best"))
     for _ in range(MOST_STEPS):
         after = step(models)
         moved = after.join(models.select(*_BY, F.col("logdet").alias("was")), _BY).where(F.abs(F.col("logdet") - F.col("was")) > 1e-4)
@@ -252,7 +259,7 @@ def robust_models(rows: DataFrame) -> DataFrame:
         if moved.isEmpty():
             break
     spread = rows.join(models.select(*_BY, "model"), _BY).groupBy(*_BY, "model", _bin()).agg(F.count(F.lit(1)).alias("n"))
-    return materialize(spread.groupBy(*_BY).applyInArrow(_scale, _MODEL), "mcd")
+    return _kept(spread.groupBy(*_BY).applyInArrow(_scale, _MODEL))
 
 
 def quality(docs: DataFrame) -> DataFrame:
