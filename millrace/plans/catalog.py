@@ -238,7 +238,7 @@ def directional_counts(spark, d):
   (t2 - t3) / t3 <= -0.15 and (t1 - t2) / t2 <= -0.15 and (t1 - f) / f <= -0.2 as escape from t where n >= 3"""
 )
 def escape_check(spark, d):
-    return history.escapes(runs(spark, d)).select("object", _r("drop_1"), _r("drop_2"), _r("drop_total"), "escape")
+    return history.escapes(runs(spark, d)).select("object", *(K.rounded(F.col(c), 6).alias(c) for c in ("drop_1", "drop_2", "drop_total")), "escape")
 
 
 @query(f"with {_RUNS}, s as (select object, list(throughput order by start_time, run_id) as s from runs group by 1) select object, len(s) as n_runs, round(list_reduce(s, lambda a, x: 0.3 * x + 0.7 * a), 6) as ewma from s")

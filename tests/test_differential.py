@@ -37,7 +37,7 @@ def test_same_rows(spark, data, duck, name):
     assert sorted(tuple(map(_plain, r)) for r in df.select(*sorted(names)).collect()) == expected
 
 
-@pytest.mark.parametrize("name", ["directional_counts"])
+@pytest.mark.parametrize("name", ["directional_counts", "escape_check"])
 def test_same_rows_with_zero_and_missing_throughput(spark, tmp_path, name):
     """All ways in which five runs can have throughput 0, none, a low or a high one."""
     folder, c = str(tmp_path), duckdb.connect()
@@ -54,6 +54,16 @@ def test_same_rows_with_zero_and_missing_throughput(spark, tmp_path, name):
     assert sorted(tuple(map(_plain, r)) for r in catalog.QUERIES[name](spark, folder).select(*names).collect()) == expected
 
 
+def test_escape_check_rounds_as_its_sql(spark, tmp_path):
+    c = duckdb.connect()
+    c.execute(
+        f"""copy (select i as event_id, timestamp '2024-01-01' + i * interval 1 hour as ts, 1::bigint as user_id, 'click' as event_type, v::double as value
+  from (values (1::bigint, 12.05), (2, 6.4), (3, 57.63), (4, 26.12)) t(i, v)) to '{tmp_path}/events.parquet' (format parquet)"""
+    )
+    c.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    assert [tuple(r) for r in catalog.QUERIES["escape_check"](spark, str(tmp_path)).collect()] == c.execute(catalog.ORACLES["escape_check"]).fetchall()
+
+
 def test_entry_has_all_queries_and_matching_oracles():
     import __spark_entry__ as entry
 
