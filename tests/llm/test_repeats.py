@@ -168,3 +168,23 @@ def test_passages_in_two_texts_of_one_id(make):
     rows = [(5, " ".join(one + _filler(rng))), (5, " ".join(two + _filler(rng))), (3, " ".join(_filler(rng) + one)), (9, " ".join(_filler(rng) + two))]
     for op in (chains.fuzzy_passages, suffixes.repeated_passages):
         assert sorted((r.doc_id, r.component_id) for r in op(make(rows)).collect()) == [(3, 3), (5, 3), (5, 5), (9, 5)]
+
+
+def test_every_link_of_frequent_fuzzy_copies(make):
+    """Two altered copies of a passage: other texts quote each alteration with the words about it, so the copies stand apart in every order."""
+    rng = random.Random(77)
+    rows, pairs = [], []
+    for c in range(8):
+        base = 1000 * c
+        parts = [words(rng, 12, 10**6) for _ in range(6)]
+        for v in range(2):
+            joints = [words(rng, 1, 10**6) for _ in range(5)]
+            whole = parts[0] + [w for j, p in zip(joints, parts[1:], strict=True) for w in j + p]
+            rows.append((base + 500 + v, " ".join(_filler(rng) + whole + _filler(rng))))
+            for k in range(50):
+                i = k % 5
+                rows.append((base + (k if k < 25 else 900 + k) + 100 * v * (k < 25), " ".join(_filler(rng) + parts[i] + joints[i] + parts[i + 1] + _filler(rng))))
+        pairs.append((base + 500, base + 501))
+    rows = [r for i, r in enumerate(rows) if r[0] not in {x[0] for x in rows[:i]}]
+    got = {r.doc_id: r.component_id for r in chains.fuzzy_passages(make(rows)).collect()}
+    assert got == {i: p[0] for p in pairs for i in p}
