@@ -188,3 +188,15 @@ def test_every_link_of_frequent_fuzzy_copies(make):
     rows = [r for i, r in enumerate(rows) if r[0] not in {x[0] for x in rows[:i]}]
     got = {r.doc_id: r.component_id for r in chains.fuzzy_passages(make(rows)).collect()}
     assert got == {i: p[0] for p in pairs for i in p}
+
+
+def test_settled_copies_do_not_meet_again(make):
+    """Nothing is left to the second pass where all places of a passage's seeds are in passages of one component, those of its least document too."""
+    rng = random.Random(83)
+    passage = words(rng, 80, 10**6)
+    texts = make([(i, " ".join(_filler(rng) + passage + _filler(rng))) for i in range(12)]).selectExpr("doc_id as d", "text")
+    seeds = texts.mapInArrow(chains.seed_rows(chains.GRAM, chains.WINDOW, chains.LEAST, True), "h long, d long, pos int")
+    counts = seeds.groupBy("h").count().where("count > 1").withColumnRenamed("count", "n")
+    places = chains.materialize(seeds.join(counts, "h").select("h", "d", "pos", "n"), "test-places")
+    passages = texts.sparkSession.createDataFrame([(a, 40, 120, b) for i in range(1, 12) for a, b in ((0, i), (i, 0))], "d long, start int, end int, other long")
+    assert places.count() > 12 * chains.ANCHORS and chains._rest(places, passages).isEmpty()
