@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from millrace.llm import chains, lines, minhash, suffixes
@@ -200,3 +201,20 @@ def test_settled_copies_do_not_meet_again(make):
     places = chains.materialize(seeds.join(counts, "h").select("h", "d", "pos", "n"), "test-places")
     passages = texts.sparkSession.createDataFrame([(a, 40, 120, b) for i in range(1, 12) for a, b in ((0, i), (i, 0))], "d long, start int, end int, other long")
     assert places.count() > 12 * chains.ANCHORS and chains._rest(places, passages).isEmpty()
+
+
+def test_chains_with_too_few_matches_have_no_passage():
+    """A chain left out before it is aligned has no passage, and one of a short line between other words is left out."""
+    rng = random.Random(89)
+    left_out = 0
+    for c in range(400):
+        line = [rng.randrange(3 if c % 4 == 0 else 10**6) for _ in range(rng.randint(9, 45))]
+        whole = [rng.randrange(8 if c % 2 else 10**6) for _ in range(70)]
+        a, b = (np.array(whole[: c % 70] + [rng.randrange(9) for _ in range(rng.randint(0, 9))] + line + whole[: (7 * c) % 70] + [rng.randrange(10**6) for _ in range(rng.randint(0, 90))], np.uint32) for _ in range(2))
+        at = [(x, y) for x in range(len(a) - 5) for y in range(len(b) - 5) if a[x] == b[y] and (a[x : x + 6] == b[y : y + 6]).all() and rng.random() < 0.4]
+        for path in chains.chain(*(np.array(v) for v in zip(*at, strict=True))) if at else []:
+            xs, ys = [at[i][0] for i in path], [at[i][1] for i in path]
+            few = chains.too_few(a, b, xs, ys) or chains.too_few(b, a, ys, xs)
+            left_out += few
+            assert not (few and chains.align(a, b, xs, ys))
+    assert left_out > 20
