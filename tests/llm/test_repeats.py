@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.llm import chains, lines, minhash, suffixes
@@ -218,3 +219,39 @@ def test_chains_with_too_few_matches_have_no_passage():
             left_out += few
             assert not (few and chains.align(a, b, xs, ys))
     assert left_out > 20
+
+
+def test_pairs_of_settled_seeds_are_not_written():
+    """Of ten seeds side by side one isn't settled: nine pairs are written, all with it, and no row for a place by itself."""
+    n = 10
+    cols = [np.full(n, 7), np.arange(0, 3 * n, 3, np.int32), np.arange(100, 100 + n), np.arange(n) == 4, np.arange(n) == 4, np.arange(n) != 4, np.full(n, 3)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["d", "pos", "h", "open", "unsettled", "known", "of"])
+    rows = [r for b in chains._next_to(iter([batch])) for r in b.to_pylist()]
+    assert sorted((r["a"], r["b"]) for r in rows) == [*((3 * i, 12) for i in range(4)), *((12, 3 * i) for i in range(5, n))]
+    assert all(r["fa"] == (r["a"] == 12) and r["fb"] == (r["b"] == 12) and r["of"] is None for r in rows)
+
+
+def test_second_pass_in_parts(make, monkeypatch):
+    """Anchors and chains of a part of the pairs are on disk at once; the result is that of all at once."""
+    rng = random.Random(97)
+    line = words(rng, 20, 10**6)
+    passages = [words(rng, 60, 10**6) for _ in range(20)]
+    rows = [(i, " ".join(_filler(rng) + line + (passages[i // 4] if i % 2 else []) + _filler(rng))) for i in range(80)]
+    tables, real = [], chains.materialize
+
+    def kept(df, label):
+        tables.append((label, out := real(df, label)))
+        return out
+
+    monkeypatch.setattr(chains, "materialize", kept)
+    monkeypatch.setattr(chains, "discard", lambda df: None)
+    one = sorted(tuple(r) for r in chains.fuzzy_passages(make(rows)).collect())
+    met = [df for label, df in tables if label == "open-pairs"][0].count()
+    assert met > 300 and len([1 for label, _ in tables if label == "chains"]) == 2
+    monkeypatch.setattr(chains, "EACH", 0)
+    monkeypatch.setattr(chains, "AT_ONCE", met // 3 + 1)
+    tables.clear()
+    assert sorted(tuple(r) for r in chains.fuzzy_passages(make(rows)).collect()) == one
+    parts = [df.select("d", "other").distinct().count() for label, df in tables if label == "chains"][1:]
+    assert len(parts) == 3 and max(parts) < met / 2
+    assert {i for i, *_ in one} >= {i for i in range(80) if i % 2}
